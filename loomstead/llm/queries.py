@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.llm.components import components
+from loomstead.llm.consensus import answer, consensus
+from loomstead.llm.mixing import mix
 from loomstead.operators.packed import unpack
 from loomstead.session import table
 
@@ -19,5 +21,48 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(pairs, "story_a", "story_b").select(F.col("node").alias("story_id"), F.col("group_node").alias("group_story"))
 
 
-QUERIES = {"p3_found": p3_found}
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every person's and model's answer to an item, spelt ``yes`` or ``no``; open answers are left out."""
+    people = table(spark, sf_dir, "human_labels").dropDuplicates(["label_id"]).select("story_id", "tag", F.concat(F.lit("person:"), "annotator").alias("who"), answer(F.col("applies")).alias("given"))
+    quality = table(spark, sf_dir, "quality_results")
+    for model in ("sonnet", "opus"):
+        people = people.unionByName(quality.select("story_id", "tag", F.lit(f"model:{model}").alias("who"), answer(F.col(f"{model}_applies")).alias("given")))
+    items = quality.select("story_id", "tag").distinct()
+    return people.where("given is not null").join(items, ["story_id", "tag"], "left_semi")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose consensus is that the tag applies."""
+    items, _ = consensus(_answers(spark, sf_dir), ["story_id", "tag"], "who", "given", ["yes"])
+    return items.where("label = 'yes'").select("story_id", "tag")
+
+
+def p4_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item with its consensus, posterior and agreement, beside the stored verdict."""
+    items, _ = consensus(_answers(spark, sf_dir), ["story_id", "tag"], "who", "given", ["yes"])
+    verdicts = table(spark, sf_dir, "quality_results").groupBy("story_id", "tag").agg(F.max(F.upper(F.nullif(F.trim("verdict"), F.lit("")))).alias("verdict"))
+    return verdicts.join(items, ["story_id", "tag"], "left").select("story_id", "tag", "verdict", (F.coalesce("label", F.lit("no")) == "yes").alias("applies"), F.round("posterior", 6).alias("posterior"), F.round("agreement", 6).alias("agreement"), F.coalesce("answers", F.lit(0)).alias("answers"))
+
+
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitivity and specificity per annotator."""
+    _, rated = consensus(_answers(spark, sf_dir), ["story_id", "tag"], "who", "given", ["yes"])
+    return rated
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"), "target_share", "max_repeats")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the mix with the times each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLE: dict[str, str] = {}
