@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.components import components
 from loomstead.llm.consensus import answer, consensus
+from loomstead.llm.leakage import leaks
 from loomstead.llm.mixing import mix
 from loomstead.operators.packed import unpack
 from loomstead.session import table
@@ -50,6 +51,20 @@ def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items that leaked into them."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked passages as spans of words, to be removed."""
+    return _leaks(spark, sf_dir)
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"), "target_share", "max_repeats")
 
@@ -64,5 +79,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares}
 ORACLE: dict[str, str] = {}
