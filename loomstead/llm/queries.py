@@ -9,6 +9,7 @@ from loomstead.llm.components import components
 from loomstead.llm.consensus import answer, consensus
 from loomstead.llm.leakage import leaks
 from loomstead.llm.mixing import mix
+from loomstead.llm.truncation import broken_off
 from loomstead.operators.packed import unpack
 from loomstead.session import table
 
@@ -79,5 +80,19 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_off(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was broken off."""
+    return _broken(spark, sf_dir).where("broken").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of broken texts per source."""
+    return _broken(spark, sf_dir).where("score is not null").groupBy("source").agg(F.count("*").alias("texts"), F.count_if("broken").alias("broken"), F.round(F.count_if("broken") / F.count("*"), 6).alias("share"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {}
