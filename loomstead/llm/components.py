@@ -40,7 +40,7 @@ def _numbered(nodes: DataFrame) -> DataFrame:
 
 def _shift(v: Column, level: int, beta: float, seed: int) -> Column:
     unit = (F.xxhash64(v, F.lit(level), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
-    return F.least(F.floor(-F.log(unit) / beta * HOP), F.lit((1 << 18) - 1)).cast("bigint")
+    return F.least(F.floor(-F.log(unit) / beta * HOP), F.lit((1 << 19) - 1)).cast("bigint")
 
 
 def _decompose(arcs: DataFrame, level: int, beta: float, max_hops: int, seed: int, hub: int) -> DataFrame:
@@ -57,14 +57,14 @@ def _decompose(arcs: DataFrame, level: int, beta: float, max_hops: int, seed: in
         sending = state.where(F.col("fresh") & (F.col("key") >= step)).select(F.col("v").alias("u"), (F.col("key") - step).alias("sent"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
         reached = salted.join(sending, ["u", "salt"]).groupBy("v").agg(F.max("sent").alias("sent"))
         state = state.join(reached, "v", "left").select("v", F.greatest("key", "sent").alias("key"), "copies", (F.coalesce("sent", F.lit(-1)) > F.col("key")).alias("fresh"))
-        if hop % 2 == 0 or hop == max_hops:  # two hops share a written table
+        if hop % 3 == 0 or hop == max_hops:  # three hops share a written table
             state = cut(state)
             if state.where("fresh").isEmpty():
                 break
     return state.select("v", F.col("key").bitwiseAND(F.lit((1 << ID_BITS) - 1)).alias("centre"))
 
 
-def components(pairs: DataFrame, left: str, right: str, nodes: DataFrame | None = None, node: str = "node", beta: float = 0.1, max_hops: int = 8, seed: int = 17, hub: int = 100_000) -> DataFrame:
+def components(pairs: DataFrame, left: str, right: str, nodes: DataFrame | None = None, node: str = "node", beta: float = 0.03, max_hops: int = 12, seed: int = 17, hub: int = 100_000) -> DataFrame:
     """``(node, group_node)``: each node with the smallest node, by bytes, of all nodes linked to it directly or not.
 
     Nodes are strings, trimmed; those of ``nodes`` that no pair names are groups of their own. A pair with a null or
