@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.llm.components import components
 from loomstead.llm.consensus import answer, consensus
+from loomstead.llm.gazetteer import link
 from loomstead.llm.leakage import leaks
 from loomstead.llm.mixing import mix
 from loomstead.llm.truncation import broken_off
@@ -52,6 +53,26 @@ def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = None
+    for name in ("auto_confirmed", "auto_linked"):
+        t = table(spark, sf_dir, name)
+        given = F.col("kima_id") if "kima_id" in t.columns else F.lit(None)
+        one = t.select(F.lit(name).alias("list_name"), F.col("row_id").cast("bigint").alias("row_id"), "name_heb", given.cast("bigint").alias("kima_given")).dropDuplicates(["list_name", "row_id"])
+        lists = one if lists is None else lists.unionByName(one)
+    return link(lists.where("name_heb is not null"), "name_heb", "kima_given", table(spark, sf_dir, "gazetteer"), "kima_id", ["primary_heb_full", "primary_rom_full"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both lists with the gazetteer entry their name means, -1 for none."""
+    return _linked(spark, sf_dir).select("list_name", "row_id", F.col("entry_id").alias("kima_id"))
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names near no entry with the number of rows, per list."""
+    return _linked(spark, sf_dir).where("entry_id = -1").groupBy("list_name", "name_heb").agg(F.count("*").alias("rows"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -94,5 +115,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(spark, sf_dir).where("score is not null").groupBy("source").agg(F.count("*").alias("texts"), F.count_if("broken").alias("broken"), F.round(F.count_if("broken") / F.count("*"), 6).alias("share"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {}
