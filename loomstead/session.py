@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "loomstead", cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,6 +40,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_cuts = itertools.count()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, with no lineage.
 
@@ -47,4 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_cuts) % 6 == 5:
+        # shuffles and broadcasts of finished steps are freed when the driver collects its garbage, which an idle heap
+        # puts off; in a loop their files would pile up
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """A written table marked for broadcast if it has at most ``rows`` rows; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
