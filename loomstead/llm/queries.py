@@ -10,12 +10,18 @@ from loomstead.llm.consensus import answer, consensus
 from loomstead.llm.gazetteer import link
 from loomstead.llm.leakage import leaks
 from loomstead.llm.mixing import mix
+from loomstead.llm.names import same_person
 from loomstead.llm.places import match_places
 from loomstead.llm.truncation import broken_off
 from loomstead.operators.packed import unpack
 from loomstead.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions with every record of the person they name."""
+    return same_person(table(spark, sf_dir, "fuzzy_review"), "review_id", "name", table(spark, sf_dir, "person_records"), "rec_id", ["names_he", "names_en"]).select("review_id", "rec_id")
+
+
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed places with the place they mean, confidence and distance."""
     matches = match_places(table(spark, sf_dir, "place_csv"), "csv_row", table(spark, sf_dir, "place_xml"), "xml_id")
@@ -127,5 +133,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _broken(spark, sf_dir).where("score is not null").groupBy("source").agg(F.count("*").alias("texts"), F.count_if("broken").alias("broken"), F.round(F.count_if("broken") / F.count("*"), 6).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_reliability": p4_reliability, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_found": p7_found, "p7_spans": p7_spans, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {}
