@@ -40,7 +40,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_cuts = itertools.count()
+#: Written tables between two collections of the driver's garbage.
+GC_EVERY = 1
+_cuts = itertools.count(1)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if next(_cuts) % 6 == 5:
+    if next(_cuts) % GC_EVERY == 0:
         # shuffles and broadcasts of finished steps are freed when the driver collects its garbage, which an idle heap
         # puts off; in a loop their files would pile up
         spark.sparkContext._jvm.System.gc()
