@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,39 +39,44 @@ def round_robin(rows: DataFrame, group: str, key: str, n: int, seed: int = 0) ->
 def greedy_spans(spans: DataFrame, doc: str, start: str, end: str) -> DataFrame:
     """Spans in order of start, longer first, each kept if it begins at or after the end of the last one kept.
 
-    The choice depends on what was chosen before, so a document's spans go through one task, in Arrow batches; spans of
-    one document are assumed to fit there."""
-    columns = spans.columns
+    The choice depends on what was chosen before: each partition is sorted by document and streamed through Python in
+    Arrow batches that carry the last end along, so neither a document nor a batch has to fit more memory than a batch."""
+    columns, schema = spans.columns, spans.schema
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf[start] - pdf[end]).sort_values([start, "_n"], kind="stable")
-        kept, at = [], None
-        for i, (s, e) in enumerate(zip(pdf[start], pdf[end])):
-            if at is None or s >= at:
-                kept.append(i)
-                at = e
-        return pdf.iloc[kept][columns]
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, 0
+        for pdf in batches:
+            kept = []
+            for i, (k, s, e) in enumerate(zip(pdf[doc], pdf[start], pdf[end])):
+                if k != last or s >= at:
+                    kept.append(i)
+                    last, at = k, e
+            yield pdf.iloc[kept][columns]
 
-    return spans.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(doc).applyInPandas(keep, spans.schema)
+    ordered = spans.where(F.col(doc).isNotNull() & F.col(start).isNotNull() & F.col(end).isNotNull()).repartition(doc).sortWithinPartitions(doc, start, F.col(end).desc())
+    return ordered.mapInPandas(keep, schema)
 
 
 def locate_in_order(entities: DataFrame, doc: str, order: str, needle: str, text: str) -> DataFrame:
     """``start``: each needle's place after the last one found, else from the beginning, else without case, else null."""
     schema = entities.select(doc, order, needle).schema.add("start", "int")
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, at, out = pdf.sort_values(order), 0, []
-        for n, t in zip(pdf[needle], pdf[text]):
-            if not n or t is None:
-                out.append(None)
-                continue
-            spots = (t.find(n, at), t.find(n), t.lower().find(n.lower(), at), t.lower().find(n.lower()))
-            spot = next((s for s in spots if s >= 0), None)
-            at = spot + len(n) if spot is not None else at
-            out.append(spot)
-        return pdf[[doc, order, needle]].assign(start=pd.array(out, dtype="Int32"))
-
-    return entities.groupBy(doc).applyInPandas(find, schema)
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, 0
+        for pdf in batches:
+            out = []
+            for k, n, t in zip(pdf[doc], pdf[needle], pdf[text]):
+                if k != last:
+                    last, at = k, 0
+                spot = None
+                if n and t is not None:
+                    spots = (t.find(n, at), t.find(n), t.lower().find(n.lower(), at), t.lower().find(n.lower()))
+                    spot = next((s for s in spots if s >= 0), None)
+                at = spot + len(n) if spot is not None else at
+                out.append(spot)
+            yield pdf[[doc, order, needle]].assign(start=pd.array(out, dtype="Int32"))
+
+    return entities.repartition(doc).sortWithinPartitions(doc, order).mapInPandas(find, schema)
 
 
 def correction_diff(before: DataFrame, after: DataFrame, keys: list[str], label: str) -> DataFrame:

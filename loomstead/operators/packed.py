@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstead.session import cut
+
 #: Delimiters that a dialect may use, with the pattern that finds them.
 DELIMITERS = {
     ";": r";",
@@ -40,8 +42,8 @@ DELIMITERS = {
     " ": r"[  ]+",
 }
 #: Bits of each value besides its shape, of a shape that its cell had before, of each run of possible delimiters left
-#: inside a value; the key that stands for null.
-VALUE_BITS, AGAIN_BITS, LEFT_BITS, NO_KEY = 2.0, 1.0, 3.0, -(2**62)
+#: inside a value, of a quote without its fellow; the key that stands for null.
+VALUE_BITS, AGAIN_BITS, LEFT_BITS, TORN_BITS, NO_KEY = 2.0, 1.0, 3.0, 8.0, -(2**62)
 _PLAIN = re.compile(r"^[\"'“”„׳״`=\s﻿‎‏]+|[\"'“”„`\s﻿‎‏]+$")
 _QUOTED = re.compile(r'\s*"((?:[^"\\]|""|\\.)*)"')
 _ANY = re.compile(r"[;|,/&\s\"]+")
@@ -94,7 +96,7 @@ def _cut_quoted(body: str, delimiter: re.Pattern) -> list[str] | None:
 
 def _fixed(items: list[str]) -> float:
     again = len(items) - len(set(map(shape, items)))
-    return VALUE_BITS * len(items) + AGAIN_BITS * again + LEFT_BITS * sum(len(_ANY.findall(x)) for x in items)
+    return VALUE_BITS * len(items) + AGAIN_BITS * again + sum(LEFT_BITS * len(_ANY.findall(x)) + TORN_BITS * (x.count('"') % 2) for x in items)
 
 
 def parses(cell: str | None) -> list[dict]:
@@ -157,7 +159,7 @@ def unpack(cells: DataFrame, key: str, cell: str, field_name: Column | str, roun
     once (of different cells under one key the largest by bytes stays); a null key is a key of its own. Positions count
     non-empty values from 1. Cells of any length are parsed whole. Other columns of ``cells`` play no part."""
     field = F.lit(field_name) if isinstance(field_name, str) else field_name
-    pool = (
+    pool = cut(
         cells.select(field.alias("field_name"), F.col(key).cast("bigint").alias("row_key"), F.col(cell).cast("string").alias("cell"))
         .groupBy("field_name", "row_key")
         .agg(F.max("cell").alias("cell"))
@@ -165,12 +167,11 @@ def unpack(cells: DataFrame, key: str, cell: str, field_name: Column | str, roun
         .select("field_name", F.coalesce("row_key", F.lit(NO_KEY)).alias("row_key"), _parses("cell").alias("parses"))
         .select("field_name", "row_key", F.posexplode("parses").alias("parse_no", "parse"))
         .select("field_name", "row_key", "parse_no", "parse.*")
-        .persist()
     )
     counts = pool.select("field_name", F.explode("shapes").alias("shape")).groupBy("field_name", "shape").agg(F.count("*").cast("double").alias("n"))
     chosen = _cheapest(pool, counts, None)
     for _ in range(rounds - 1):
-        chosen = chosen.persist()
+        chosen = cut(chosen)
         counts = chosen.select("field_name", F.explode("shapes").alias("shape")).groupBy("field_name", "shape").agg(F.count("*").cast("double").alias("n"))
         used = chosen.groupBy("field_name", "dialect").agg(F.count("*").alias("c"))
         dialects = used.join(F.broadcast(used.groupBy("field_name").agg(F.sum("c").alias("t"))), "field_name").select("field_name", "dialect", (F.col("c") / F.col("t")).alias("share"))
