@@ -14,7 +14,7 @@ from loomstead.llm.names import same_person
 from loomstead.llm.places import match_places
 from loomstead.llm.truncation import broken_off
 from loomstead.operators.packed import unpack
-from loomstead.session import table
+from loomstead.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stories with the smallest story of their group, from pairs and from cells of several members."""
     members = unpack(table(spark, sf_dir, "story_clusters"), "cluster_id", "members", "members")
-    members = members.select("row_key", F.regexp_replace(F.regexp_extract("item_value", r"([^/]*)$", 1), r"^\s+|\s+$", "").alias("story")).where("story <> ''").persist()
+    members = cut(members.select("row_key", F.regexp_replace(F.regexp_extract("item_value", r"([^/]*)$", 1), r"^\s+|\s+$", "").alias("story")).where("story <> ''"))
     heads = members.groupBy("row_key").agg(F.min("story").alias("head"))
     pairs = table(spark, sf_dir, "story_duplicates").select("story_a", "story_b").unionByName(members.join(heads, "row_key").select(F.col("head").alias("story_a"), F.col("story").alias("story_b")))
     return components(pairs, "story_a", "story_b").select(F.col("node").alias("story_id"), F.col("group_node").alias("group_story"))
