@@ -170,7 +170,7 @@ def test_fill_keeps_caps_and_budget():
 def test_mix(spark):
     docs = [(i, f"text number {i} " * 5, "a" if i < 300 else "b") for i in range(400)] + [(900, None, "a"), (901, "", "a"), (902, "other", None), (903, "text number 0 " * 5, "b"), (904, "lost", "zz")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").withColumn("n_tokens", F.lit(0))
-    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2), ("none", 0.1, 3), ("a", None, None)], "source string, target_share double, max_repeats int")
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 2.0, 2), ("none", 0.1, 3), ("a", None, None)], "source string, target_share double, max_repeats int")
     chosen, report = M.mix(df, "doc_id", "text", "source", goal, "target_share", "max_repeats")
     rows, shares = chosen.collect(), {r.source: r for r in report.collect()}
     assert all(r.repeats <= (1 if r.source == "a" else 2) for r in rows) and 903 not in {r.doc_id for r in rows}
