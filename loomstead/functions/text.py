@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Precomposed Latin letters and their bases, for a `normalize` that Spark lacks.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğģīįķļłńņňōőŕřśşšţťūůűųźżž"
-BASES = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeggiikllnnnoorrsssttuuuuzzz"
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğģīįķļńņňōőŕřśşšţťūůűųźżž"
+BASES = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeggiiklnnnoorrsssttuuuuzzz"
 QUOTES = "[׳״\"']"
 
 

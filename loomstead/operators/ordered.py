@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def numbering_flags(units: DataFrame, part: str, order: str, number: str) -> DataFrame:
@@ -59,7 +60,7 @@ def greedy_spans(spans: DataFrame, doc: str, start: str, end: str) -> DataFrame:
 
 def locate_in_order(entities: DataFrame, doc: str, order: str, needle: str, text: str) -> DataFrame:
     """``start``: each needle's place after the last one found, else from the beginning, else without case, else null."""
-    schema = entities.select(doc, order, needle).schema.add("start", "int")
+    schema = entities.select(doc, order, needle).schema.add("start", T.IntegerType())
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, at = None, 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstead.functions import numeric as N
 from loomstead.functions import text as X
 from loomstead.operators import analytics as A
+from loomstead.operators import funnel as U
 from loomstead.operators import graph as G
 from loomstead.operators import linkage as L
 from loomstead.operators import ordered as O
@@ -374,3 +375,9 @@ RULES = [("click", "view"), ("view", "look"), ("search", "find"), ("purchase", "
 @query("""SELECT * FROM (VALUES ('click', 'look'), ('view', 'look'), ('search', 'find'), ('purchase', 'DROP'), ('find', 'search')) v(name, target)""")
 def g04_rename_closure(spark: SparkSession, d: str) -> DataFrame:
     return G.rename_closure(spark.createDataFrame(RULES, "old string, new string"), "old", "new")
+
+
+@query("""WITH v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), u AS (SELECT vec_id, label, d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM v), c AS (SELECT label, d, avg(x) AS m FROM u GROUP BY 1, 2), k AS (SELECT label AS tag, d, m / sqrt(sum(m * m) OVER (PARTITION BY label)) AS m FROM c), s AS (SELECT tag, vec_id, label, round(sum(x * m), 6) AS sim FROM u JOIN k USING (d) GROUP BY 1, 2, 3), q AS (SELECT tag, quantile_cont(sim, 0.1) AS lo, quantile_cont(sim, 0.4) AS hi FROM s WHERE label = tag GROUP BY 1), j AS (SELECT s.tag, vec_id, sim, CASE WHEN label = s.tag AND sim < lo THEN 'false_positive' WHEN label <> s.tag AND sim >= hi THEN 'candidate' WHEN label <> s.tag THEN 'control' END AS role FROM s JOIN q USING (tag)), r AS (SELECT *, row_number() OVER (PARTITION BY tag, role ORDER BY CASE WHEN role = 'control' THEN md5('0:' || tag || ':' || vec_id) ELSE '' END, sim DESC, vec_id) AS r FROM j WHERE role IS NOT NULL) SELECT tag, vec_id, role, sim FROM r WHERE role = 'false_positive' OR (role = 'candidate' AND r <= 60) OR (role = 'control' AND r <= 10)""")
+def l01_l02_t01_audit_funnel(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return U.audit_funnel(e, "vec_id", "embedding", e.select("vec_id", F.col("label").alias("tag")), "tag")

@@ -174,3 +174,42 @@ def test_expected_counts_sum(spark):
     t = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "r string, c string")
     got = analytics.expected_counts(t, "r", "c").collect()
     assert len(got) == 4 and sum(x.observed for x in got) == 3 and sum(x.expected for x in got) == pytest.approx(3)
+
+
+def test_markup_round_trip(spark):
+    from loomstead.sources import markup
+
+    places = spark.createDataFrame([("p1", ["A & B", "ב"], 51.2, 22.5, {"Wikidata": "Q1"}), ("p2", [], None, None, {})], "xml_id string, names array<string>, lat double, lon double, ids map<string,string>")
+    xml = markup.place_elements(places).select(F.col("xml_id").alias("edition"), F.concat(F.lit("<l>"), "xml", F.lit("</l>")).alias("xml"))
+    back = {r.xml_id: r for r in tei.authority(xml).collect()}
+    assert back["p1"].names == ["A & B", "ב"] and back["p1"].lat == 51.2 and back["p1"].ids == {"Wikidata": "Q1"} and back["p2"].names == []
+    t = spark.createDataFrame([("Lublin & Rome", [(0, 6, "placeName", "#p1"), (3, 8, "x", None), (9, 13, "placeName", None)]), (None, None)], "t string, s array<struct<start:int,end:int,tag:string,ref:string>>")
+    got = t.select(markup.render_spans("t", "s").alias("x")).collect()
+    assert got[0].x == '<placeName ref="#p1">Lublin</placeName> &amp; <placeName>Rome</placeName>' and got[1].x is None
+    x = spark.createDataFrame([('<p>zloty <q>zloty</q> <b n="zloty">two zloty</b></p>',)], "x string")
+    assert x.select(markup.wrap_terms(F.col("x"), ["zloty"], "m", ["q"]).alias("x")).first().x == '<p><m>zloty</m> <q>zloty</q> <b n="zloty">two <m>zloty</m></b></p>'
+    assert x.select(markup.unwrap(F.col("x"), "b").alias("x")).first().x == "<p>zloty <q>zloty</q> two zloty</p>"
+
+
+def test_ask_stops_after_errors_and_cache_prefers_models(spark):
+    from loomstead.operators import funnel
+
+    def client(text):
+        if text.startswith("bad"):
+            raise RuntimeError("no")
+        return text.upper()
+
+    r = spark.createDataFrame([(i, "bad" if i > 1 else "ok") for i in range(6)], "id int, prompt string").coalesce(1)
+    got = funnel.ask(r, "prompt", client, "m", retries=1, most_errors=2).orderBy("id").collect()
+    assert [(x.reply, x.error) for x in got] == [("OK", None)] * 2 + [(None, "no")] * 2 + [(None, "stopped")] * 2
+    v = spark.createDataFrame([("s", "b", "no", 2), ("s", "a", "yes", 1), ("q", "z", "no", 1)], "story string, model string, applies string, ts int")
+    hit, miss = funnel.cached(spark.createDataFrame([("s",), ("q",)], "story string"), v, ["story"], ["a", "b"])
+    assert [(x.story, x.applies) for x in hit.collect()] == [("s", "yes")] and [x.story for x in miss.collect()] == ["q"]
+
+
+def test_retained_guard(spark):
+    from loomstead.operators import funnel
+
+    b = spark.createDataFrame([("d", i) for i in range(4)] + [("e", 0), ("e", 1)], "doc string, x int")
+    got = funnel.retained(b, spark.createDataFrame([("d", 0), ("e", 0)], "doc string, x int"), "doc", 0.5).groupBy("doc").count().collect()
+    assert {r.doc: r["count"] for r in got} == {"d": 4, "e": 1}
