@@ -85,10 +85,10 @@ def document_prevalence(tokens: DataFrame, word: str, item: str, yes: Column, do
 def expected_counts(items: DataFrame, row: str, column: str) -> DataFrame:
     """Observed and expected cells of a contingency table with each cell's part of chi-square."""
     seen = items.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("observed"))
-    rows, columns = seen.groupBy(row).agg(F.sum("observed").alias("r")), seen.groupBy(column).agg(F.sum("observed").alias("c"))
+    rows, columns = seen.groupBy(row).agg(F.sum("observed").alias("_in_row")), seen.groupBy(column).agg(F.sum("observed").alias("_in_column"))
     cells = rows.crossJoin(F.broadcast(columns)).join(seen, [row, column], "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
     t = F.sum("observed").over(Window.partitionBy())
-    return cells.withColumn("expected", F.col("r") * F.col("c") / t).select(row, column, "observed", F.round("expected", 6).alias("expected"), F.round(F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected"), 6).alias("part"))
+    return cells.withColumn("expected", F.col("_in_row") * F.col("_in_column") / t).select(row, column, "observed", F.round("expected", 6).alias("expected"), F.round(F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected"), 6).alias("part"))
 
 
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -124,11 +124,16 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return mean.select(group, F.transform("mean", lambda x: F.try_divide(x, n)).alias("centroid"))
 
 
+def _absent_from(column: str):
+    keys = F.map_keys(F.coalesce(column, F.create_map().cast("map<string,string>")))
+    return lambda k, v: ~F.array_contains(keys, k)
+
+
 def merge_fields(base: DataFrame, extra: DataFrame, key: str, arrays: list[str], maps: list[str], scalars: list[str]) -> DataFrame:
     """``base`` enriched: missing array values and map keys added, scalars filled where null or blank; what stands there wins."""
     j = base.join(extra.select(key, *[F.col(c).alias(f"_{c}") for c in arrays + maps + scalars]).dropDuplicates([key]), key, "left")
     out = {c: F.array_union(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"_{c}", F.array().cast("array<string>"))) for c in arrays}
-    out |= {c: F.map_concat(F.map_filter(F.coalesce(f"_{c}", F.create_map().cast("map<string,string>")), lambda k, v, c=c: ~F.array_contains(F.map_keys(F.coalesce(c, F.create_map().cast("map<string,string>"))), k)), F.coalesce(c, F.create_map().cast("map<string,string>"))) for c in maps}
+    out |= {c: F.map_concat(F.map_filter(F.coalesce(f"_{c}", F.create_map().cast("map<string,string>")), _absent_from(c)), F.coalesce(c, F.create_map().cast("map<string,string>"))) for c in maps}
     out |= {c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.col(f"_{c}").cast("string")) for c in scalars}
     return j.select(*[out.get(c, F.col(c)).alias(c) for c in base.columns])
 
