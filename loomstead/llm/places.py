@@ -10,8 +10,8 @@ are linear in these variables:
 Their weighted sum is convex. It is minimised by alternating directions: every rule keeps its own copies of its variables
 and moves them to the minimum of its hinge and the squared distance to the consensus, then each variable's consensus is
 the mean over its rules. Candidates share one of their names' rarest grams and lie in neighbouring cells of a grid, read either way
-round; where a row has no coordinates they share one of fewer grams and must be likelier. Nothing is compared with
-everything.
+round; where a row has no coordinates they share one of as many rare pairs of sounds as the allowed edits ask for, and
+must be likelier. Nothing is compared with everything.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstead.llm.spelling import QUOTES, edits, plain, sound
+from loomstead.llm.spelling import HEBREW_SOUNDS, LATIN_SOUNDS, QUOTES, edits, plain, sound
 from loomstead.session import cut
 
 # Words of kind before a place's name, and words for old and new with their sense.
@@ -32,8 +33,11 @@ KIND_WORDS = {"קק", "ק ק", "עיר", "העיר", "כפר", "הכפר", "שט
 SENSES = {"הישנה": "old", "הישנ": "old", "ישנ": "old", "אלט": "old", "אלטע": "old", "old": "old", "stary": "old", "stare": "old", "alt": "old", "החדשה": "new", "חדש": "new", "החדש": "new", "ניי": "new", "נייע": "new", "nay": "new", "new": "new", "nowy": "new", "neu": "new", "nowe": "new", "novy": "new", "עליונה": "upper", "העליונה": "upper", "אויבער": "upper", "ober": "upper", "upper": "upper", "oyber": "upper", "תחתונה": "lower", "התחתונה": "lower", "אונטער": "lower", "unter": "lower", "lower": "lower", "גדולה": "great", "הגדולה": "great", "גרויס": "great", "groys": "great", "great": "great", "wielki": "great", "velke": "great", "קטנה": "small", "הקטנה": "small", "קליינ": "small", "kleyn": "small", "little": "small", "maly": "small"}
 SENSES = {k.translate(str.maketrans("ךםןףץ", "כמנפצ")): v for k, v in SENSES.items()}
 NAME = T.ArrayType(T.StructType([T.StructField("sound", T.StringType()), T.StructField("sense", T.StringType()), T.StructField("district", T.StringType())]))
+SHAPE = T.StructType([T.StructField("bits", T.LongType()), T.StructField("grams", T.ArrayType(T.StringType()))])
 #: Lowest name similarity of a candidate, grams of a name that index it, weights of the rules, rounds.
-LEAST, PREFIX, FEW = 0.65, 6, 3
+LEAST, PREFIX = 0.65, 6
+#: Edits a sound that names alone may differ by, and that they may where the districts agree; a third at most, see _named.
+APART, APART_SAME = 0.3, 1 / 3
 CELL_LAT, CELL_LON = 0.13, 0.2
 EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, ROUNDS, RHO = 1.0, 0.45, 6.0, 0.6, 12, 1.0
 
@@ -64,13 +68,15 @@ def _sound(column: pd.Series) -> pd.Series:
 
 
 def name_likeness(a, b) -> float:
-    """Highest likeness of any two parsed names, 0 where the sense differs; 1 less edits over length."""
+    """Highest likeness of any two parsed names, 1 less edits over length; 0 where the sense differs or it is below ``LEAST``."""
     top = 0.0
     for x in a:
         for y in b:
             if x["sense"] == y["sense"]:
                 n = max(len(x["sound"]), len(y["sound"]))
-                top = max(top, 1.0 - edits(x["sound"], y["sound"], 4) / n)
+                most = int((1.0 - LEAST) * n + 1e-9)
+                if (d := edits(x["sound"], y["sound"], most)) <= most:
+                    top = max(top, 1.0 - d / n)
     return top
 
 
@@ -88,6 +94,89 @@ def _grams(names: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, of)))
 
 
+_BIT = {c: i for i, c in enumerate(sorted({c for _, v in HEBREW_SOUNDS + LATIN_SOUNDS for c in v}))}
+
+
+@F.pandas_udf(SHAPE)
+def _shape(sounds: pd.Series) -> pd.DataFrame:
+    """A bit for each sound and one for its return; the pairs of sounds, ends marked, each with the times it stood before."""
+    out = []
+    for s in sounds:
+        seen, t, grams, bits = {}, f"^{s}$", [], 0
+        for c in s:
+            bits |= 1 << _BIT[c] + (31 if seen.get(c) else 0)
+            seen[c] = 1
+        for g in (t[i : i + 2] for i in range(len(t) - 1)):
+            grams.append(f"{g}{seen.get(g, 0)}")
+            seen[g] = seen.get(g, 0) + 1
+        out.append((bits, grams))
+    return pd.DataFrame(out, columns=["bits", "grams"])
+
+
+@F.pandas_udf(T.IntegerType())
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edits between two columns of sounds, a swap of neighbours one edit; all rows at once, by length."""
+    out = np.zeros(len(a), np.int32)
+    a, b = a.to_numpy(), b.to_numpy()
+    by = pd.DataFrame({"m": [len(x) for x in a], "n": [len(x) for x in b]})
+    for (m, n), at in by.groupby(["m", "n"]).indices.items():
+        x, y = (np.frombuffer("".join(v[at]).encode("utf-32-le"), np.uint32).reshape(len(at), -1) for v in (a, b))
+        before, last = None, [np.full(len(at), j, np.int32) for j in range(n + 1)]
+        for i in range(m):
+            now = [np.full(len(at), i + 1, np.int32)]
+            for j in range(n):
+                d = np.minimum(last[j] + (x[:, i] != y[:, j]), np.minimum(last[j + 1], now[j]) + 1)
+                if i and j:
+                    swap = (x[:, i] == y[:, j - 1]) & (x[:, i - 1] == y[:, j])
+                    d = np.where(swap, np.minimum(d, before[j - 1] + 1), d)
+                now.append(d.astype(np.int32))
+            before, last = last, now
+        out[at] = last[n]
+    return pd.Series(out)
+
+
+def _forms(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each row under the sounds ``s`` of each of its names, with their sense, length, bits and grams."""
+    one = rows.select("k", *columns, F.explode("parsed").alias("x")).select("k", *columns, F.col("x.sound").alias("s"), F.col("x.sense").alias("sense"))
+    return one.distinct().withColumn("n", F.length("s")).withColumn("shape", _shape("s")).select("*", "shape.*").drop("shape")
+
+
+def _within(most: Column) -> Column:
+    """Holds for all names ``most`` edits apart: an edit changes the length by one at most, and one sound of either."""
+    bits = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    return (F.abs(F.col("na") - F.col("nb")) <= most) & (bits("ba", "bb") <= most) & (bits("bb", "ba") <= most)
+
+
+def _named(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(ka, kb)`` of forms at most ``APART`` edits a sound from each other, or ``APART_SAME`` where districts agree.
+
+    An edit, be it a swap, undoes three pairs of sounds at most. So of names ``e`` edits apart one of the ``3 e + 1`` rarest
+    pairs of either is the other's too; with a third of the sounds at most edited no name has fewer pairs than that. The
+    join is by pair, sense and length, and each two forms are compared once however many rows have them."""
+    form = ["s", "sense", "d", "n", "bits", "grams"]
+    fa, fb = a.select(form).distinct(), b.select(form).distinct()
+    counts = cut(fa.select("s", "grams").unionByName(fb.select("s", "grams")).distinct().select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("c")))
+
+    def ranked(forms: DataFrame) -> DataFrame:
+        each = forms.select("s", F.explode("grams").alias("g")).distinct().join(counts, "g").select("s", "g", F.row_number().over(Window.partitionBy("s").orderBy("c", "g")).alias("r"))
+        return forms.drop("grams").join(each, "s")
+
+    left = ranked(fa).withColumn("nb", F.explode(F.sequence(F.ceil(F.col("n") * (1 - APART_SAME) - 1e-9).cast("int"), F.floor(F.col("n") / (1 - APART_SAME) + 1e-9).cast("int"))))
+    left = left.select(F.col("s").alias("sa"), "sense", F.col("d").alias("da"), F.col("n").alias("na"), F.col("bits").alias("ba"), "g", F.col("r").alias("ra"), "nb")
+    right = ranked(fb).select(F.col("s").alias("sb"), "sense", F.col("d").alias("db"), F.col("n").alias("nb"), F.col("bits").alias("bb"), "g", F.col("r").alias("rb"))
+    longer = F.greatest("na", "nb")
+    few, more = (F.floor(longer * x + 1e-9) for x in (APART, APART_SAME))
+    most = F.when((few < more) & F.coalesce(F.levenshtein("da", "db") <= 2, F.lit(False)), more).otherwise(few)
+    left = left.where(F.col("ra") <= 3 * more + 1)
+    met = left.join(right, ["g", "sense", "nb"]).where((F.greatest("ra", "rb") <= 3 * more + 1) & _within(more)).where((F.greatest("ra", "rb") <= 3 * most + 1) & _within(most) & (F.levenshtein("sa", "sb") <= 2 * most))  # a swap counts two here
+    met = met.select("sense", "sa", "da", "sb", "db", most.alias("most")).distinct()
+    met = cut(met.where(_edits("sa", "sb") <= F.col("most")).select("sense", "sa", "da", "sb", "db"))
+    mine = a.select(F.col("k").alias("ka"), "sense", F.col("s").alias("sa"), F.col("d").alias("dk"))
+    other = b.select(F.col("k").alias("kb"), "sense", F.col("s").alias("sb"), F.col("d").alias("dk"))
+    pairs = met.join(mine, ["sense", "sa"]).where(F.col("da").eqNullSafe(F.col("dk"))).drop("dk")
+    return pairs.join(other, ["sense", "sb"]).where(F.col("db").eqNullSafe(F.col("dk"))).select("ka", "kb").distinct()
+
+
 def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 12742.0 * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))  # least() would pass over a null
@@ -119,7 +208,8 @@ def _cells(rows: DataFrame, side: str, around: int) -> DataFrame:
 
 def _evidence(near: Column, likeness: Column, same: Column) -> Column:
     """How true the evidence makes a pair, from 0 to 1."""
-    named = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (likeness - 0.5) / 0.4))
+    # names alone must be likelier: among many places chance brings most names to 0.8
+    named = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(near.isNull(), (likeness - 0.7) / 0.2).otherwise((likeness - 0.5) / 0.4)))
     far = F.when(near.isNull(), F.lit(0.5)).when(near <= 3, 1.0).when(near <= 8, 0.9).when(near <= 15, 0.7).when(near <= 30, 0.3).otherwise(0.0)
     where = F.when(same.isNull(), F.lit(0.0)).when(same, 0.15).otherwise(F.when(near <= 8, 0.0).otherwise(-0.35))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), named * F.when(near.isNull(), 0.75).otherwise(0.35) + far * F.when(near.isNull(), 0.0).otherwise(0.6) + where)) * F.when((named < 0.2) | ((near > 30)), 0.3).otherwise(1.0)
@@ -134,13 +224,10 @@ def candidates(listed: DataFrame, places: DataFrame) -> DataFrame:
     near_l = _cells(listed.select("k", "lat", "lon").unionByName(turned), "l", 0).join(lg.withColumnRenamed("k", "l"), "l")
     near_p = _cells(places, "p", 1).join(pg.withColumnRenamed("k", "p"), "p")
     near = near_l.join(near_p, ["x", "y", "g"]).select("l", "p").distinct()
-    # where one has no coordinates names alone must tell, and be likelier: fewer grams are needed to find them
-    few_l, few_p = _indexed(listed, counts, FEW).withColumnRenamed("k", "l"), _indexed(places, counts, FEW).withColumnRenamed("k", "p")
-    lost_l, lost_p = listed.where("lat is null").select(F.col("k").alias("l")), places.where("lat is null").select(F.col("k").alias("p"))
-    by_name = few_l.join(lost_l, "l", "left_semi").join(few_p, "g").select("l", "p").unionByName(few_p.join(lost_p, "p", "left_semi").join(few_l, "g").select("l", "p"))
-    sounds = lambda t, side, out: t.select(F.col("k").alias(side), F.transform("parsed", lambda x: F.struct(x["sound"], x["sense"])).alias(out))
-    alike = F.exists("sa", lambda x: F.exists("sb", lambda y: (x["sense"] == y["sense"]) & (F.levenshtein(x["sound"], y["sound"]) <= F.greatest(F.length(x["sound"]), F.length(y["sound"])) * 0.3)))
-    by_name = by_name.distinct().join(sounds(listed, "l", "sa"), "l").join(sounds(places, "p", "sb"), "p").where(alike).select("l", "p")
+    # where one has no coordinates names alone must tell, and be likelier
+    fl, fp = cut(_forms(listed, "lat", "d")), cut(_forms(places, "lat", "d"))
+    lost_l, lost_p = _named(fl.where("lat is null"), fp), _named(fl, fp.where("lat is null"))
+    by_name = lost_l.unionByName(lost_p).withColumnsRenamed({"ka": "l", "kb": "p"})
     pairs = near.unionByName(by_name).distinct()
     full = pairs.join(listed.select(F.col("k").alias("l"), F.col("parsed").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("coarse"), F.col("d").alias("da")), "l").join(places.select(F.col("k").alias("p"), F.col("parsed").alias("b"), F.col("lat").alias("pa"), F.col("lon").alias("po"), F.col("d").alias("db")), "p")
     km = F.least(kilometres(F.col("la"), F.col("lo"), F.col("pa"), F.col("po")), kilometres(F.col("lo"), F.col("la"), F.col("pa"), F.col("po")))
@@ -157,7 +244,9 @@ def _minimise(pairs: DataFrame, alike: DataFrame) -> DataFrame:
     one per alike row's variable of the same place. Scaled duals are kept beside the copies."""
     state = cut(pairs.select("l", "p", "score", F.col("score").alias("z"), F.lit(0.0).alias("ue"), F.lit(0.0).alias("ux")))
     same = cut(alike.join(pairs.select(F.col("l").alias("l1"), "p"), "l1").join(pairs.select(F.col("l").alias("l2"), "p"), ["l2", "p"]).select("l1", "l2", "p", F.lit(0.0).alias("u1"), F.lit(0.0).alias("u2")))
-    row = Window.partitionBy("l")
+    # the sum at most 1 holds for a pair and the likelier ones of its row: of the optima, all of which share out the same
+    # truth, that is the one where the likelier pair keeps it and only equal ones halve it
+    row = Window.partitionBy("l").orderBy(F.round("score", 3).desc())
     for step in range(ROUNDS):
         # evidence w*max(0, score - x) and prior w0*max(0, x): both linear, so the copy moves by their slopes
         v = F.col("z") - F.col("ue")

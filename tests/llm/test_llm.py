@@ -61,6 +61,30 @@ def test_match_places(spark):
     assert P.match_places(empty, "csv_row", xml, "xml_id").count() == 0
 
 
+
+def test_misspelt_places_without_coordinates(spark):
+    """Every pair of names within the edits is a candidate, whichever letters are changed."""
+    rng = random.Random(3)
+    stock = ["".join(rng.choice("abdgklmnprstvz") for _ in range(rng.randint(3, 12))) for _ in range(60)]
+    stock += ["deSankutski", "ananananan"]
+
+    def spoilt(s, edits):
+        for _ in range(edits):
+            i = rng.randrange(1, len(s) - 1)
+            s = rng.choice([s[:i] + "X" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "X" + s[i:], s[: i - 1] + s[i] + s[i - 1] + s[i + 1 :]])
+        return s
+
+    parsed = "k string, parsed array<struct<sound string, sense string, district string>>, lat double, lon double, coarse boolean, d string"
+    rows = lambda names, kind, lat, d: [(f"{kind}{i}", [(s, "", None)], lat, lat, False, d) for i, s in enumerate(names)]
+    listed = rows([spoilt(s, rng.randint(1, max(1, len(s) * 3 // 10))) for s in stock for _ in range(3) if len(s) > 3] + ["deXankutski"], "l", None, "nart")
+    places = rows(stock, "p", 50.0, "nart")
+    got = {(r.l, r.p) for r in P.candidates(spark.createDataFrame(listed, parsed), spark.createDataFrame(places, parsed)).collect()}
+    full = {(a[0], b[0]): (edits(x, y, 9), max(len(x), len(y))) for a in listed for b in places for x, y in [(a[1][0][0], b[1][0][0])]}
+    assert got == {k for k, (d, n) in full.items() if d <= n / 3 + 1e-9} and len(got) > 150
+    xs, ys = (spark.createDataFrame([(v,) for v in col], "s string").toPandas().s for col in zip(*[(a[1][0][0], b[1][0][0]) for a in listed[:40] for b in places]))
+    assert P._edits.func(xs, ys).tolist() == [edits(x, y, 30) for x, y in zip(xs, ys)]
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------
 
 
