@@ -9,13 +9,14 @@ are linear in these variables:
 
 Their weighted sum is convex. It is minimised by alternating directions: every rule keeps its own copies of its variables
 and moves them to the minimum of its hinge and the squared distance to the consensus, then each variable's consensus is
-the mean over its rules. Candidates share one of their names' rarest grams and lie in neighbouring cells of a grid, read either way
-round; where a row has no coordinates they share one of as many rare pairs of sounds as the allowed edits ask for, and
-must be likelier. Nothing is compared with everything.
+the mean over its rules. Candidates are all pairs within 30 km, read either
+way round and found by the cells of a grid, whose names are at least 0.55 alike; where a row has no coordinates they share one of
+as many rare pairs of sounds as the allowed edits ask for, and must be likelier. Nothing is compared with everything.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,11 +35,13 @@ SENSES = {"הישנה": "old", "הישנ": "old", "ישנ": "old", "אלט": "ol
 SENSES = {k.translate(str.maketrans("ךםןףץ", "כמנפצ")): v for k, v in SENSES.items()}
 NAME = T.ArrayType(T.StructType([T.StructField("sound", T.StringType()), T.StructField("sense", T.StringType()), T.StructField("district", T.StringType())]))
 SHAPE = T.StructType([T.StructField("bits", T.LongType()), T.StructField("grams", T.ArrayType(T.StringType()))])
-#: Lowest name similarity of a candidate, grams of a name that index it, weights of the rules, rounds.
-LEAST, PREFIX = 0.65, 6
+#: Lowest name similarity of a candidate, reach of the rules in km, what rough coordinates may be off, weights, rounds.
+LEAST = 0.55
 #: Edits a sound that names alone may differ by, and that they may where the districts agree; a third at most, see _named.
 APART, APART_SAME = 0.3, 1 / 3
-CELL_LAT, CELL_LON = 0.13, 0.2
+REACH, ROUGH = 30.0, 6.0
+#: Degrees of a cell; 720 of them go round.
+CELL_LAT, CELL_LON, ROUND = 0.33, 0.5, 720
 EVIDENCE, PRIOR, EXCLUSIVE, ALIKE, ROUNDS, RHO = 1.0, 0.45, 6.0, 0.6, 12, 1.0
 
 
@@ -85,15 +88,6 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([name_likeness(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _grams(names: Column) -> Column:
-    """Grams of two sounds of every name, ends marked."""
-    def of(n: Column) -> Column:
-        s = F.concat(F.lit("^"), n["sound"], F.lit("$"))
-        return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.concat(F.substring(s, i, F.lit(3))))
-
-    return F.array_distinct(F.flatten(F.transform(names, of)))
-
-
 _BIT = {c: i for i, c in enumerate(sorted({c for _, v in HEBREW_SOUNDS + LATIN_SOUNDS for c in v}))}
 
 
@@ -182,6 +176,12 @@ def kilometres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return 12742.0 * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))  # least() would pass over a null
 
 
+def _km() -> Column:
+    """Distance of ``la, lo`` from ``pa, po``, read either way round, less what rough coordinates may be off."""
+    km = F.least(kilometres(F.col("la"), F.col("lo"), F.col("pa"), F.col("po")), kilometres(F.col("lo"), F.col("la"), F.col("pa"), F.col("po")))
+    return F.when(F.col("coarse"), F.greatest(km - ROUGH, F.lit(0.0))).otherwise(km)
+
+
 def _prepared(rows: DataFrame, key: str, names: str, lat: str, lon: str, extra: str) -> DataFrame:
     """One row per key: parsed names, coordinates or null where both are 0 or one is missing, district."""
     r = rows.select(F.col(key).cast("string").alias("k"), F.col(names).alias("n"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"), F.col(extra)["district"].alias("d")).where("k is not null").dropDuplicates(["k"])
@@ -192,18 +192,18 @@ def _prepared(rows: DataFrame, key: str, names: str, lat: str, lon: str, extra:
     return r.select("k", "parsed", F.when(good, F.col("lat")).alias("lat"), F.when(good, F.col("lon")).alias("lon"), coarse.alias("coarse"), F.coalesce("d", inside).alias("d"))
 
 
-def _indexed(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
-    """Each row under the rarest grams of each of its names."""
-    one = rows.select("k", F.explode("parsed").alias("p")).select("k", F.col("p.sound").alias("s"), F.explode(_grams(F.array("p"))).alias("g")).distinct()
-    ranked = one.join(counts, "g").withColumn("r", F.row_number().over(Window.partitionBy("k", "s").orderBy("c", "g")))
-    return ranked.where(F.col("r") <= most).select("k", "g").distinct()
+def _cell(lat: Column, lon: Column) -> list[Column]:
+    return [F.floor(lat / CELL_LAT).alias("y"), F.pmod(F.floor(lon / CELL_LON), F.lit(ROUND)).alias("x")]
 
 
-def _cells(rows: DataFrame, side: str, around: int) -> DataFrame:
-    """Each row with coordinates in its cell of about 14 km, or with the cells around it."""
-    step = F.sequence(F.lit(-around), F.lit(around))
-    x, y = F.floor(F.col("lat") / CELL_LAT), F.floor(F.col("lon") / CELL_LON)
-    return rows.where("lat is not null").select(F.col("k").alias(side), x.alias("x"), y.alias("y"), F.explode(step).alias("dx")).select(side, (F.col("x") + F.col("dx")).alias("x"), F.explode(F.transform(step, lambda d: F.col("y") + d)).alias("y"))
+def _cells(places: DataFrame) -> DataFrame:
+    """Each place in all cells that its reach touches: as many degrees either way as it spans at its latitude."""
+    r = math.radians((REACH + ROUGH + 0.1) / 111.19)
+    up, slant = math.degrees(r), F.sin(F.lit(r)) / F.cos(F.radians("pa"))
+    wide = F.when((F.abs(F.col("pa")) + up >= 90) | (F.abs(slant) >= 1), 180.0).otherwise(F.degrees(F.asin(slant)))
+    rows = F.sequence(F.floor((F.col("pa") - up) / CELL_LAT), F.floor((F.col("pa") + up) / CELL_LAT))
+    columns = F.sequence(F.floor((F.col("po") - wide) / CELL_LON), F.floor((F.col("po") + wide) / CELL_LON))
+    return places.withColumn("y", F.explode(rows)).withColumn("x", F.explode(F.array_distinct(F.transform(columns, lambda c: F.pmod(c, F.lit(ROUND))))))
 
 
 def _evidence(near: Column, likeness: Column, same: Column) -> Column:
@@ -216,23 +216,22 @@ def _evidence(near: Column, likeness: Column, same: Column) -> Column:
 
 
 def candidates(listed: DataFrame, places: DataFrame) -> DataFrame:
-    """``(l, p, likeness, km, same, score)`` of prepared rows that share a rare gram of a name and may lie at one place."""
-    both = listed.select("k", "parsed").unionByName(places.select("k", "parsed"))
-    counts = cut(both.select("k", F.explode(_grams(F.col("parsed"))).alias("g")).groupBy("g").agg(F.count("*").alias("c")))
-    lg, pg = cut(_indexed(listed, counts, PREFIX)), cut(_indexed(places, counts, PREFIX))
-    turned = listed.select("k", F.col("lon").alias("lat"), F.col("lat").alias("lon"))
-    near_l = _cells(listed.select("k", "lat", "lon").unionByName(turned), "l", 0).join(lg.withColumnRenamed("k", "l"), "l")
-    near_p = _cells(places, "p", 1).join(pg.withColumnRenamed("k", "p"), "p")
-    near = near_l.join(near_p, ["x", "y", "g"]).select("l", "p").distinct()
+    """``(l, p, likeness, km, same, score)`` of prepared rows within the rules' reach of each other whose names are at least
+    ``LEAST`` alike, and where one has no coordinates, of those that ``_named`` gives."""
+    fl, fp = cut(_forms(listed, "lat", "lon", "coarse", "d")), cut(_forms(places, "lat", "lon", "d"))
+    here = fl.where("lat is not null").select(F.col("k").alias("l"), F.col("s").alias("sa"), "sense", F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "coarse")
+    there = fp.where("lat is not null").select(F.col("k").alias("p"), F.col("s").alias("sb"), "sense", F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("lat").alias("pa"), F.col("lon").alias("po"))
+    read = here.select("*", *_cell(F.col("la"), F.col("lo"))).unionByName(here.select("*", *_cell(F.col("lo"), F.col("la"))))
+    most = F.floor(F.greatest("na", "nb") * (1 - LEAST) + 1e-9)
+    near = read.join(_cells(there), ["y", "x", "sense"]).where(_within(most)).where(_km() <= REACH).select("l", "p", "sa", "sb", most.alias("most")).distinct()
+    near = near.where(_edits("sa", "sb") <= F.col("most")).select("l", "p")
     # where one has no coordinates names alone must tell, and be likelier
-    fl, fp = cut(_forms(listed, "lat", "d")), cut(_forms(places, "lat", "d"))
     lost_l, lost_p = _named(fl.where("lat is null"), fp), _named(fl, fp.where("lat is null"))
     by_name = lost_l.unionByName(lost_p).withColumnsRenamed({"ka": "l", "kb": "p"})
     pairs = near.unionByName(by_name).distinct()
     full = pairs.join(listed.select(F.col("k").alias("l"), F.col("parsed").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("coarse"), F.col("d").alias("da")), "l").join(places.select(F.col("k").alias("p"), F.col("parsed").alias("b"), F.col("lat").alias("pa"), F.col("lon").alias("po"), F.col("d").alias("db")), "p")
-    km = F.least(kilometres(F.col("la"), F.col("lo"), F.col("pa"), F.col("po")), kilometres(F.col("lo"), F.col("la"), F.col("pa"), F.col("po")))
     same = F.when(F.col("da").isNotNull() & F.col("db").isNotNull(), F.levenshtein("da", "db") <= 2)
-    rated = full.withColumn("km", F.when(F.col("coarse"), F.greatest(km - 6.0, F.lit(0.0))).otherwise(km)).withColumn("same", same).withColumn("likeness", _likeness("a", "b"))
+    rated = full.withColumn("km", _km()).withColumn("same", same).withColumn("likeness", _likeness("a", "b"))
     rated = rated.where(F.col("likeness") >= LEAST)
     return rated.select("l", "p", "likeness", "km", "same", _evidence(F.col("km"), F.col("likeness"), F.col("same")).alias("score"))
 

@@ -85,6 +85,32 @@ def test_misspelt_places_without_coordinates(spark):
     assert P._edits.func(xs, ys).tolist() == [edits(x, y, 30) for x, y in zip(xs, ys)]
 
 
+
+def test_all_pairs_the_rules_reach(spark):
+    """Misspelt names, places beyond the neighbouring cell, rough and exchanged coordinates."""
+    rng = random.Random(4)
+    names = ["debtsaSitSin", "deXtsaSitXin", "deXtXaSXtXin", "kaltin", "kXlXin"]
+    parsed = "k string, parsed array<struct<sound string, sense string, district string>>, lat double, lon double, coarse boolean, d string"
+    row = lambda kind, i, far: (f"{kind}{i}", [(rng.choice(names), "", None)], *rng.choice([(60.04 + far * rng.random(), 23.013 + far * rng.random()), (-17.0 + far * rng.random(), 179.9 + far * rng.random() - (360 if rng.random() < 0.5 else 0))]), i % 5 == 0, None)
+    listed, places = [row("l", i, 0.8) for i in range(60)], [row("p", i, 0.8) for i in range(60)]
+    listed += [(f"t{k}", p, lon, lat, c, d) for k, p, lat, lon, c, d in listed if lat > 0]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        return 12742 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+
+    want = set()
+    for a in listed:
+        for b in places:
+            far = min(km(a[2], a[3], b[2], b[3]), km(a[3], a[2], b[2], b[3])) - (6 if a[4] else 0)
+            if far <= 30 and P.name_likeness(*([dict(zip(("sound", "sense"), n)) for n in x[1]] for x in (a, b))) >= 0.55:
+                want.add((a[0], b[0]))
+    assert {(r.l, r.p) for r in P.candidates(spark.createDataFrame(listed, parsed), spark.createDataFrame(places, parsed)).collect()} == want and len(want) > 300
+    place = spark.createDataFrame([("a", ["Keltsushapolye"], 60.0, 22.3, {"district": "nart"})], "xml_id string, " + PLACE)
+    rows = spark.createDataFrame([(1, ["Keltsushapolye"], 60.0, 22.66, {"district": "nart"})], "csv_row bigint, " + PLACE)
+    assert [r.xml_id for r in P.match_places(rows, "csv_row", place, "xml_id").collect()] == ["a"]
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------
 
 
