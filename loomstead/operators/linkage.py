@@ -52,13 +52,16 @@ def geo_band_score(sim, km):
 
 
 def name_geo_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Best right record per left ``(key, name, lat, lon)`` by banded score; the band never rescues names without a shared gram."""
+    """Best right record per left ``(key, name, lat, lon)`` by banded score, NEW without one of 0.55.
+
+    A name without a shared gram has similarity 0, which no distance band rescues: cells would add no match."""
     l, r = left.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "name", "lat", "lon")]), right.select(*[F.col(c).alias(f"r_{c}") for c in ("key", "name", "lat", "lon")])
     pairs = name_candidates(left.select("key", "name"), right.select("key", "name")).join(l, F.col("l") == F.col("l_key")).join(r, F.col("r") == F.col("r_key"))
     km = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
     scored = pairs.select("l", "r", km.alias("km"), geo_band_score(name_similarity(F.col("l_name"), F.col("r_name")), km).alias("score")).where("score >= 0.55")
     best = first_by_rank(scored, ["l"], F.col("score").desc(), F.col("r"))
-    return best.select("l", "r", F.round("score", 6).alias("score"), F.round("km", 6).alias("km"), F.when(F.col("score") >= HIGH, "MATCHED").otherwise("CONFLICT").alias("status"))
+    every = left.select(F.col("key").alias("l")).distinct().join(best, "l", "left")
+    return every.select("l", "r", F.round("score", 6).alias("score"), F.round("km", 6).alias("km"), F.when(F.col("score") >= HIGH, "MATCHED").when(F.col("score").isNotNull(), "CONFLICT").otherwise("NEW").alias("status"))
 
 
 def precedence(targets: DataFrame, sources: list[tuple[DataFrame, list[str]]], value: str) -> DataFrame:

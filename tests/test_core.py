@@ -213,3 +213,12 @@ def test_retained_guard(spark):
     b = spark.createDataFrame([("d", i) for i in range(4)] + [("e", 0), ("e", 1)], "doc string, x int")
     got = funnel.retained(b, spark.createDataFrame([("d", 0), ("e", 0)], "doc string, x int"), "doc", 0.5).groupBy("doc").count().collect()
     assert {r.doc: r["count"] for r in got} == {"d": 4, "e": 1}
+
+
+def test_name_geo_match_reports_new(spark):
+    place = "key string, name string, lat double, lon double"
+    left = spark.createDataFrame([("a", "Lublin", 51.2, 22.5), ("b", "Qqq", 51.2, 22.5), ("c", None, None, None), ("d", "Lublin", 10.0, 100.0)], place)
+    right = spark.createDataFrame([("x", "Lublin", 51.2, 22.5), ("y", "Vilna", 54.7, 25.3)], place)
+    got = {r.l: (r.r, r.status) for r in linkage.name_geo_match(left, right).collect()}
+    assert got == {"a": ("x", "MATCHED"), "b": (None, "NEW"), "c": (None, "NEW"), "d": ("x", "MATCHED")}
+    assert {r.status for r in linkage.name_geo_match(left, right.limit(0)).collect()} == {"NEW"}
