@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ MARKS = r"[\s…�*]+|\.{2,}|[-–—]+$"
 SHINGLE, BANDS, ROWS, LIKE, SEED = 5, 16, 6, 0.8, 5
 #: Texts whose sentences the model is fitted on, and the size of its weight table.
 SAMPLE_TEXTS, DIM = 3000, 1 << 18
-#: Sample texts with the same three last words from which these count as an end.
-CLOSING_TEXTS = 4
+#: Share of all texts with the same three last words from which these count as an end, and texts it takes at least.
+CLOSING_SHARE, CLOSING_TEXTS = 4 / 3000, 4
 #: Most that a full stop, or its absence, counts for.
 MOST_STOP = 1.0
 #: Most texts in near-copy pairs whose ids are broadcast to fetch them.
@@ -79,9 +78,22 @@ def features(w: list[str]) -> list[int]:
     return [_hash(x) for x in out]
 
 
-def _examples(texts: list[str], seed: int) -> tuple[list[list[int]], np.ndarray]:
+def closing(text: str) -> str:
+    """The last three words of a text's last sentence."""
+    return " ".join(last_sentence(text)[0][-3:])
+
+
+def common_ends(read: DataFrame) -> set[str]:
+    """Closing words of ``CLOSING_SHARE`` of all texts or more, counted over all; no more than ``1 / CLOSING_SHARE`` of them.
+
+    ``read (key, words)``, equal keys equal texts, which count once."""
+    each = read.dropDuplicates(["key"])
+    least = max(CLOSING_TEXTS, math.ceil(CLOSING_SHARE * each.count()))
+    return {r["words"] for r in each.groupBy("words").agg(F.count("*").alias("c")).where(F.col("c") >= least).collect()}
+
+
+def _examples(texts: list[str], ends: set[str], seed: int) -> tuple[list[list[int]], np.ndarray]:
     rng, rows, label = np.random.default_rng(seed), [], []
-    tails = Counter(" ".join(last_sentence(t)[0][-3:]) for t in texts)
     for t in texts:
         spots = [m for m in _STOP.finditer(t) if m.group()[0] != "\n"]
         starts = [0, *[m.end() for m in spots]]
@@ -94,15 +106,16 @@ def _examples(texts: list[str], seed: int) -> tuple[list[list[int]], np.ndarray]
                     rows.append(features(last_sentence(t[a:k])[0]))
                     label.append(0.0)
         # a text's own end counts where others end so too, as closing lines do; a broken one rarely has its like
-        if tails[" ".join(last_sentence(t)[0][-3:])] >= CLOSING_TEXTS:
+        if closing(t) in ends:
             rows.append(features(last_sentence(t)[0]))
             label.append(1.0)
     return rows, np.array(label)
 
 
-def fit(texts: list[str], seed: int = SEED, epochs: int = 4) -> np.ndarray:
-    """Weights of the terminality model by adaptive gradient steps; the last weight is the intercept."""
-    rows, label = _examples(texts, seed)
+def fit(texts: list[str], ends: set[str], seed: int = SEED, epochs: int = 4) -> np.ndarray:
+    """Weights of the terminality model by adaptive gradient steps; the last weight is the intercept. ``ends`` are the
+    common closing words; texts of the sample that close so are examples of whole ones."""
+    rows, label = _examples(texts, ends, seed)
     w, g = np.zeros(DIM + 1), np.full(DIM + 1, 1e-6)
     if not rows:
         return w
@@ -220,28 +233,35 @@ def broken_off(docs: DataFrame, doc_id: str, text: str, source: str, prior: floa
     null source is a source of its own. A repeated id counts once, with the text of the largest digest. Texts may be of any
     length and are read whole. Without any text the result is empty. ``prior`` is the log-odds of a break for a text
     at no limit. Which words end a sentence is learnt from at most ``SAMPLE_TEXTS`` texts, those of the smallest hash;
-    copies, limits and scores cover all texts."""
+    copies, common closing words, limits and scores cover all texts."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).withColumn("key", F.md5("text"))
     some = (F.length("text") > 200) | F.col("text").rlike(r"[^\s]")  # a text of 200 blanks or more would pass, and be judged empty
     filled = base.where(some)
-    sample = [r["text"] for r in filled.select("key", "text").join(F.broadcast(filled.select("key").distinct().orderBy("key").limit(SAMPLE_TEXTS)), "key", "left_semi").dropDuplicates(["key"]).orderBy("key").collect()]
-    model = spark.sparkContext.broadcast(fit(sample).astype(np.float32))
 
-    @F.pandas_udf("struct<terminal double, stop boolean, chars int, bytes int>")
+    @F.pandas_udf("struct<feats array<int>, words string, stop boolean, chars int, bytes int>")
     def ends(column: pd.Series) -> pd.DataFrame:
-        w, out = model.value, []
+        out = []
         for t in column:
             body = stripped(t)
             cut = re.sub(r"[\s…�]+$|\.{3}$", "", t)
             segment, stop = last_sentence(t)
-            score = float(w[DIM] + w[features(segment)].sum())
-            out.append((score, stop != "", len(t.rstrip("…�.*- ")) if len(body) < len(t) else len(t), len((cut if "�" in t[-3:] else t.rstrip("….")).encode())))
-        return pd.DataFrame(out, columns=["terminal", "stop", "chars", "bytes"])
+            out.append((features(segment), " ".join(segment[-3:]), stop != "", len(t.rstrip("…�.*- ")) if len(body) < len(t) else len(t), len((cut if "�" in t[-3:] else t.rstrip("….")).encode())))
+        return pd.DataFrame(out, columns=["feats", "words", "stop", "chars", "bytes"])
 
+    # texts are read once; what the fit and the score ask of an end is kept, of bounded size
     kept = F.max(F.struct("key", "source", "e"))
-    scored = cut(base.select("doc_id", "key", "source", F.when(some, ends(F.coalesce("text", F.lit("")))).alias("e")).groupBy("doc_id").agg(kept.alias("k")).select("doc_id", "k.key", "k.source", "k.e.*"))
-    unread, scored = scored.where("terminal is null"), scored.where("terminal is not null")
+    read = cut(base.select("doc_id", "key", "source", F.when(some, ends(F.coalesce("text", F.lit("")))).alias("e")).groupBy("doc_id").agg(kept.alias("k")).select("doc_id", "k.key", "k.source", "k.e.*"))
+    unread, read = read.where("feats is null"), read.where("feats is not null")
+    sample = [r["text"] for r in filled.select("key", "text").join(F.broadcast(filled.select("key").distinct().orderBy("key").limit(SAMPLE_TEXTS)), "key", "left_semi").dropDuplicates(["key"]).orderBy("key").collect()]
+    model = spark.sparkContext.broadcast(fit(sample, common_ends(read.select("key", "words"))).astype(np.float32))
+
+    @F.pandas_udf("double")
+    def terminal(column: pd.Series) -> pd.Series:
+        w = model.value
+        return column.map(lambda feats: float(w[DIM] + w[feats].sum())).astype("float64")
+
+    scored = read.withColumn("terminal", terminal("feats")).drop("feats", "words")
     limits = _limits(scored)
     here = scored.select("doc_id", "source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("u")).select("doc_id", "source", "u.*")
     lifts = here.join(limits, ["source", "unit", "size"]).groupBy("doc_id").agg(F.max("lift").alias("lift"))

@@ -262,6 +262,17 @@ def test_broken_off(spark):
     assert T.broken_off(df.limit(0), "doc_id", "text", "source").count() == 0
 
 
+def test_common_ends_count_all_texts(spark, monkeypatch):
+    """Which closing words are common does not rest on the sample; equal texts count once."""
+    docs = [(f"k{i}", f"Tale {i} is told here.\nso it was told {'thus' if i % 100 == 0 else i}") for i in range(1000)] + [("k1", "Tale 1 is told here.\nso it was told 1")] * 30
+    monkeypatch.setattr(T, "SAMPLE_TEXTS", 20)
+    df = spark.createDataFrame([(k, T.closing(t)) for k, t in docs], "key string, words string")
+    assert T.common_ends(df) == {"was told thus"}
+    assert T.common_ends(df.limit(0)) == set()
+    few = ["One came. Two went.\nso it was told thus"]
+    assert T._examples(few, {"was told thus"}, 1)[1].sum() == 1 and T._examples(few, set(), 1)[1].sum() == 0
+
+
 def test_entry_lists_every_problem():
     import __spark_entry__
 
