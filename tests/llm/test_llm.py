@@ -170,7 +170,8 @@ def test_trie_finds_all_within_the_distance():
         trie.add(w, i)
     for _ in range(40):
         q = "".join(random.choice("abcd") for _ in range(random.randint(1, 7)))
-        assert trie.search(q, 2) == {i: edits(q, w, 2) for i, w in enumerate(sorted(words)) if edits(q, w, 2) <= 2}
+        for k in (0, 1, 2, 3):
+            assert trie.search(q, k) == {i: edits(q, w, k) for i, w in enumerate(sorted(words)) if edits(q, w, k) <= k}
 
 
 def test_link(spark):
@@ -182,6 +183,18 @@ def test_link(spark):
     assert {r.entry_id for r in Z.link(df, "name", "given", ref.limit(0), "id", ["he"]).collect()} == {-1}
 
 
+def test_entries_near_over_several_shards_and_blocks(spark, monkeypatch):
+    """An exact entry hides none of the others, whatever the shards."""
+    entries = spark.createDataFrame([(i, f"abcdef{c}", None) for i, c in enumerate("ghijklmnop")] + [(50, "zzzzzz", "far")], "e bigint, name string, district string")
+    forms = spark.createDataFrame([(f,) for f in ("abcdefg", "abcdeg", "zzzzzz", "q")], "form string")
+    want = {(r.form, r.entry, r.cost) for r in Z.entries_near(forms, entries).collect()}
+    assert len({e for f, e, _ in want if f == "abcdefg"}) == 10 and {(e, c) for f, e, c in want if f == "zzzzzz"} == {(50, 0.0)} and "q" not in {f for f, _, _ in want}
+    monkeypatch.setattr(Z, "SHARD", 3)
+    monkeypatch.setattr(Z, "BLOCK", 2)
+    assert {(r.form, r.entry, r.cost) for r in Z.entries_near(forms, entries).collect()} == want
+    assert Z.entries_near(forms.limit(0), entries).count() == 0
+
+
 # --- p7 ----------------------------------------------------------------------------------------------------------
 
 
