@@ -28,12 +28,52 @@ def test_both_scripts_sound_alike():
 
 
 def test_parse_names():
-    p = N.parse('הרה"ק וואלף געסאבמיהאלץ זצ״ל')
+    lex = N.Lexicon(N.listed())
+    (p,) = N.parse('הרה"ק וואלף געסאבמיהאלץ זצ״ל', lex)
     assert p["given"] == ["זאב"] and p["surname"] == sound(plain("געסאבמיהאלץ"))
-    q = N.parse("געסאבמיהאלץ, ז׳")
-    assert q["given"] == ["?ז"] and q["surname"] == p["surname"]
-    assert N.given_likeness(["זאב"], ["דוב"]) is None and N.given_likeness(["?ז"], ["זאב"]) > 0.5
-    assert N.parse(None) is None and N.parse(" - ") is None
+    (q,) = N.parse("געסאבמיהאלץ, ז׳", lex)
+    assert q["given"] == ["?ז"] and q["surname"] == p["surname"] and "זאב" in q["called"]
+    assert N.given_likeness(["זאב"], ["דוב"], lex) is None and N.given_likeness(["?ז"], ["זאב"], lex)[0] > 0.5
+    assert N.parse(None, lex) == [] and N.parse(" - ", lex) == []
+    assert {tuple(r["given"]) for r in N.parse("Zelig Horowitz", lex)} == {("~z:zelig",), ("~h:araviT",)}
+    assert lex.near("וואלפפ") == "זאב" and lex.near("qqq") is None
+
+
+def test_names_outside_any_list_link(spark, monkeypatch):
+    """Equal strings, other orders, slips and initials are found whether or not a word is in the list."""
+    records = spark.createDataFrame([(1, ["Zelig Horowitz"]), (2, ["Hillel Paritcher"]), (3, ["Moshe Sofer"]), (4, ["Gimpel"]), (5, [None, ""]), (None, ["Zelig Horowitz"])], "rec_id bigint, names_he array<string>")
+    typed = ["Zelig Horowitz", "Horowitz Zelig", "Hilel Paritcher", "Paritcher, H.", "Moshe Sofer", "Gimpel", "Zelig Paritcher", None, " "]
+    mentions = spark.createDataFrame(list(enumerate(typed)) + [(0, "Zelig Horowitz")], "review_id bigint, name string")
+    want = {(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4)}
+    for known in (N.GIVEN, {}):
+        monkeypatch.setattr(N, "GIVEN", known)
+        assert {(r.review_id, r.rec_id) for r in N.same_person(mentions, "review_id", "name", records, "rec_id", ["names_he"]).collect()} == want
+
+
+def test_given_names_are_learnt(spark, monkeypatch):
+    """Words beside many rarer words are given names, and forms that records use for one person are one name."""
+    monkeypatch.setattr(N, "GIVEN", {})
+    rng = random.Random(2)
+    surnames = ["".join(rng.choice(["ba", "ko", "lim", "ter", "zu", "fen", "gro"]) for _ in range(4)) for _ in range(60)]
+    rows = [(i, n) for i, s in enumerate(surnames) for n in ((f"Aron {s}", f"Orele {s}") if i % 2 else (f"Bendet {s}", f"Bendet {s}x"))]
+    forms = N.learn(spark.createDataFrame([(n,) for _, n in rows] + [("מחבר Aron sefer",)], "name string"), spark.createDataFrame(rows, "rec bigint, name string"))
+    assert set(forms) == {"aron", "orele", "bendet"} and forms["aron"] == forms["orele"] != forms["bendet"]
+
+
+def test_similar_names_against_brute_force(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abdegiklmnrstuvzXST") for _ in range(rng.randint(3, 16))) for _ in range(60)]
+
+    def slip(s):
+        i, k = rng.randrange(len(s) - 1), rng.randrange(4)
+        return [s[:i] + s[i + 1] + s[i] + s[i + 2 :], s[:i] + s[i + 1 :], s[:i] + "m" + s[i:], s[:i] + "r" + s[i + 1 :]][k]
+
+    a = list(dict.fromkeys(base + [slip(s) for s in base] + [slip(slip(s)) for s in base] + [slip(slip(slip(s))) for s in base]))
+    most = lambda n: 0 if n < 4 else 1 if n < 8 else 2 if n < 14 else 3
+    want = {(x, y) for x in a for y in a if edits(x, y, 3) <= most(max(len(x), len(y)))}
+    df = spark.createDataFrame([(s, "g", ["g"]) for s in a] + [(s, "h", ["h"]) for s in a[:5]], "surname string, gkey string, called array<string>")
+    got = {(r.sa, r.sb) for r in N.similar_names(df.where("gkey = 'g'"), df).collect()}
+    assert got == want and len(want) > 2 * len(a)
 
 
 def test_same_person(spark):
