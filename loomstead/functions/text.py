@@ -116,10 +116,14 @@ def latin_words(c: Column, least: int = 2) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: F.length(w) >= least)
 
 
+#: Letters that may be attached before and after a Hebrew word.
+PREFIX_LETTERS, SUFFIX_LETTERS = "והבלמכשדיתנא", "יהםותןךנ"
+
+
 def term_in_text(text: Column, term: Column) -> Column:
-    """A Hebrew word with up to three letters attached on either side; other terms as substrings."""
-    word = F.concat(F.lit(r"(?:^|[^֐-׿])[֐-׿]{0,3}\Q"), term, F.lit(r"\E[֐-׿]{0,3}(?:$|[^֐-׿])"))
-    return F.when(term.rlike("^[א-ת]+$"), F.rlike(text, word)).otherwise(text.contains(term))
+    """A Hebrew word as a whole token with up to three prefix and three suffix letters; other terms as substrings."""
+    word = F.concat(F.lit(rf"(?:^|[^֐-׿])[{PREFIX_LETTERS}]{{0,3}}\Q"), term, F.lit(rf"\E[{SUFFIX_LETTERS}]{{0,3}}(?:$|[^֐-׿])"))
+    return F.when(term.rlike("^[֐-׿]+$"), F.rlike(text, word)).otherwise(text.contains(term))
 
 
 def tri_state(c: Column) -> Column:
@@ -146,3 +150,100 @@ def verdict_json(c: Column) -> Column:
 
 def distance_label(km: Column) -> Column:
     return F.when(km.isNull(), "no distance").when(km < 1, F.concat(F.format_number(km * 1000, 0), F.lit(" m"))).otherwise(F.concat(F.format_number(km, 1), F.lit(" km")))
+
+
+def sentences(c: Column, least: int = 12) -> Column:
+    """Sentences of more than ``least`` characters with a Hebrew letter, the story's id and tag mark before them dropped."""
+    body = F.regexp_replace(F.coalesce(c, F.lit("")), r"^\S+\s+תיוגים\*?\s*", "")
+    return F.filter(F.transform(F.split(body, r"(?<=[.!?׃:])\s+|\n+"), lambda s: F.trim(s)), lambda s: (F.length(s) > least) & s.rlike("[א-ת]"))
+
+
+def clip(c: Column, most: int = 130) -> Column:
+    """At most so many characters, cut before a word, with an ellipsis."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, most), r" [^ ]*$", ""), F.lit("…")))
+
+
+def context_window(text: Column, start: Column, end: Column, width: int) -> Column:
+    """So many characters on either side of a span, with ellipses where more follows."""
+    a, b = F.greatest(start - width, F.lit(0)), F.least(end + width, F.length(text))
+    return F.concat(F.when(a > 0, "…").otherwise(""), F.substring(text, a + 1, b - a), F.when(b < F.length(text), "…").otherwise(""))
+
+
+def containing_word(text: Column, start: Column, end: Column) -> Column:
+    """The word around a span up to the next blanks; empty where the span is that word."""
+    left, right = F.regexp_extract(F.substring(text, F.lit(1), start), r"(\S*)$", 1), F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^(\S*)", 1)
+    return F.when((left == "") & (right == ""), "").otherwise(F.concat(left, F.substring(text, start + 1, end - start), right))
+
+
+def script(c: Column) -> Column:
+    """``he`` where a Hebrew letter stands in a name, else ``en``."""
+    return F.when(has_hebrew(c), "he").otherwise("en")
+
+
+def near_equal(a: Column, b: Column, compound: str = "major+minor", parts: tuple[str, str] = ("major", "minor")) -> Column:
+    """Equal, or a compound against one of its parts."""
+    return (a == b) | ((a == compound) & b.isin(*parts)) | ((b == compound) & a.isin(*parts))
+
+
+def highest(tokens: Column, ranks: list[str], default: str) -> Column:
+    """The last of ``ranks`` among an array of tokens, else the default."""
+    rank = F.array_max(F.transform(tokens, lambda t: F.array_position(F.array(*[F.lit(r) for r in ranks]), t)))
+    return F.when(rank > 0, F.element_at(F.array(*[F.lit(r) for r in ranks]), rank.cast("int"))).otherwise(F.lit(default))
+
+
+def topics(tokens: Column, skip: str | None = None) -> Column:
+    """Tokens with a colon that are not to be done, without those of one prefix."""
+    ok = lambda t: t.contains(":") & ~F.upper(t).startswith("TBD") & (~t.startswith(f"{skip}:") if skip else F.lit(True))
+    return F.filter(tokens, ok)
+
+
+def duration(seconds: Column) -> Column:
+    """``1h02m``, ``3m05s`` or ``7s``."""
+    s = seconds.cast("bigint")
+    return F.when(s >= 3600, F.format_string("%dh%02dm", F.expr("1") * F.floor(s / 3600), F.floor(s % 3600 / 60))).when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
+
+
+def humanized(tag: Column) -> Column:
+    """The part after the first colon, underscores as blanks."""
+    return F.replace(F.when(tag.contains(":"), F.substring_index(tag, ":", -1)).otherwise(tag), F.lit("_"), F.lit(" "))
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
+
+
+#: What stands before a name inside of it where two were run together; marks that alone make no name.
+HONORIFICS, ONLY_MARKS = 'ר׳|הרב|רבי|מהר|מורנו|ה״ה|כ״ק|ר"', "^[\\s׳״\"'.,:;!?()–—\\-/\\\\|]+$"
+
+
+def entity_flags(text: Column, kind: Column) -> Column:
+    """Array of what is suspicious about a marked name: ``short_fragment``, ``punct_only``, ``xmlid_leak``, ``fused_entity``."""
+    t = F.trim(text)
+    fused = kind.isin("persName", "placeName") & ~t.rlike(r"\s") & (hebrew_length(t) > 6) & t.rlike(f"^(?!{HONORIFICS}).+?(?:{HONORIFICS}).*[א-ת]")
+    flags = [F.when(kind.isin("persName", "placeName", "orgName") & (F.length(t) <= 2), "short_fragment"), F.when(t.rlike(ONLY_MARKS), "punct_only"), F.when(t.rlike("_0[0-9]"), "xmlid_leak"), F.when(fused, "fused_entity")]
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*flags)))
+
+
+def needs_context(status: Column, flags: Column, candidates: Column) -> Column:
+    """Whether a match must be looked at in its text: ambiguous, of another sound, or fuzzy with several candidates."""
+    return F.coalesce(status == "name_ambiguous", F.lit(False)) | F.coalesce(flags.contains("phonetic_mismatch"), F.lit(False)) | F.coalesce((status == "fuzzy") & (F.size(candidates) > 1), F.lit(False))
+
+
+def risk(name: Column, method: Column, region: Column, implausible: list[str], homographs: list[str]) -> Column:
+    """struct(risk, reason) of a link, the first rule that holds."""
+    h, m = F.trim(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(method, F.lit("")))
+    bad = F.regexp_extract(F.coalesce(region, F.lit("")), "(" + "|".join(implausible) + ")", 1)
+    say = lambda r, why: F.struct(F.lit(r).alias("risk"), F.lit(why).alias("reason"))
+    return F.when(bad != "", say("HIGH", "region")).when(h.isin(*homographs), say("HIGH", "homograph")).when(m.contains("wikidata"), say("LOW", "identity")).when((h != "") & (hebrew_length(h) <= 4), say("HIGH", "short")).when((h == "") & m.contains("name_exact"), say("LOW", "romanized")).when(m.contains("name_exact"), say("MED", "exact name")).otherwise(say("MED", "review"))
+
+
+def mapped(c: Column, names: dict[str, str]) -> Column:
+    """A code's name, or the code itself."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv]), c), c)
+
+
+def highlighted(text: Column, words: list[str]) -> Column:
+    """Each word between double asterisks."""
+    for w in words:
+        text = F.replace(text, F.lit(w), F.lit(f"**{w}**"))
+    return text

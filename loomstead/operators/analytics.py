@@ -33,9 +33,8 @@ def topic_sides(items: DataFrame, topic: str, item: str, yes: Column) -> DataFra
 def topic_difference(items: DataFrame, topic: str, item: str, yes: Column, keep: int) -> DataFrame:
     """The ``keep`` topics with the largest and with the smallest difference a - b; all where there are no more."""
     d = topic_sides(items, topic, item, yes).withColumn("difference", F.col("a") - F.col("b"))
-    w = Window.partitionBy()
-    ranked = d.withColumn("high", F.row_number().over(w.orderBy(F.col("difference").desc(), topic))).withColumn("low", F.row_number().over(w.orderBy("difference", F.col(topic).desc())))
-    return ranked.where((F.col("high") <= keep) | (F.col("low") <= keep)).drop("high", "low")
+    d = d.select(topic, "a", "b", "difference")
+    return d.orderBy(F.col("difference").desc(), topic).limit(keep).union(d.orderBy("difference", F.col(topic).desc()).limit(keep)).distinct()
 
 
 def rate_per_thousand(items: DataFrame, topic: str, item: str, yes: Column, words: DataFrame, least: int) -> DataFrame:

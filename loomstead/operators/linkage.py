@@ -22,7 +22,12 @@ def identifiers(rows: DataFrame, key: str, wikidata: str, gazetteer: str, url: s
 
 def identifier_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """Matches of two identifier tables, one row per left key: one right key MATCHED at 1.0, several CONFLICT at 0.9."""
-    hits = left.withColumnRenamed("key", "l").join(right.withColumnRenamed("key", "r"), ["kind", "value"]).groupBy("l", "r").agg(F.array_join(F.sort_array(F.collect_set("kind")), ", ").alias("kinds"))
+    # a value that one right key holds, by far the most, joins as one row; only those of several keep them all
+    per_value = right.groupBy("kind", "value").agg(F.min("key").alias("r"), F.count_if(F.col("key").isNotNull()).alias("c"), F.max("key").alias("last"))
+    single = left.withColumnRenamed("key", "l").join(per_value, ["kind", "value"])
+    # two keys of a value are enough to tell a conflict and its first record
+    both = F.when(F.col("r") == F.col("last"), F.array("r")).otherwise(F.array("r", "last"))
+    hits = single.select("l", "kind", F.explode(both).alias("r")).groupBy("l", "r").agg(F.array_join(F.sort_array(F.collect_set("kind")), ", ").alias("kinds"))
     return hits.groupBy("l").agg(F.min("r").alias("r"), F.count("*").alias("n"), F.min_by("kinds", "r").alias("kinds")).select("l", "r", "kinds", F.when(F.col("n") == 1, "MATCHED").otherwise("CONFLICT").alias("status"), F.when(F.col("n") == 1, 1.0).otherwise(0.9).alias("confidence"))
 
 
@@ -52,13 +57,13 @@ def geo_band_score(sim, km):
 
 
 def name_geo_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Best right record per left ``(key, name, lat, lon)`` by banded score, NEW without one of 0.55.
+    """Best right record per left ``(key, name, lat, lon)`` by banded score, NEW where no band takes one.
 
     A name without a shared gram has similarity 0, which no distance band rescues: cells would add no match."""
     l, r = left.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "name", "lat", "lon")]), right.select(*[F.col(c).alias(f"r_{c}") for c in ("key", "name", "lat", "lon")])
     pairs = name_candidates(left.select("key", "name"), right.select("key", "name")).join(l, F.col("l") == F.col("l_key")).join(r, F.col("r") == F.col("r_key"))
     km = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    scored = pairs.select("l", "r", km.alias("km"), geo_band_score(name_similarity(F.col("l_name"), F.col("r_name")), km).alias("score")).where("score >= 0.55")
+    scored = pairs.select("l", "r", km.alias("km"), geo_band_score(name_similarity(F.col("l_name"), F.col("r_name")), km).alias("score")).where("score is not null")
     best = first_by_rank(scored, ["l"], F.col("score").desc(), F.col("r"))
     every = left.select(F.col("key").alias("l")).distinct().join(best, "l", "left")
     return every.select("l", "r", F.round("score", 6).alias("score"), F.round("km", 6).alias("km"), F.when(F.col("score") >= HIGH, "MATCHED").when(F.col("score").isNotNull(), "CONFLICT").otherwise("NEW").alias("status"))
@@ -74,14 +79,19 @@ def precedence(targets: DataFrame, sources: list[tuple[DataFrame, list[str]]], v
     return out.select(*targets.columns, F.coalesce(*hits).alias(value), rank.alias("source_rank"))
 
 
+def symmetric(twins: DataFrame) -> DataFrame:
+    """``(story, twin, sim)`` of pairs ``(a, b, sim)`` in both directions, the highest sim of each."""
+    both = twins.select(F.col("a").alias("story"), F.col("b").alias("twin"), "sim").unionByName(twins.select(F.col("b").alias("story"), F.col("a").alias("twin"), "sim"))
+    return both.groupBy("story", "twin").agg(F.max("sim").alias("sim"))
+
+
 def propagate(suggestions: DataFrame, twins: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``suggestions (story, tag)`` of confirmed tags along ``twins (a, b, sim)``: the twin's own verdict decides.
+    """``suggestions (story, tag, decision)`` carried along ``twins (a, b, sim)``: the twin's own decision is set beside.
 
-    ``auto-confirm`` where it applies there too, ``auto-reject`` where not, ``open`` without one."""
-    both = twins.select(F.col("a").alias("story"), F.col("b").alias("twin"), "sim").unionByName(twins.select(F.col("b").alias("story"), F.col("a").alias("twin"), "sim"))
-    near = both.groupBy("story", "twin").agg(F.max("sim").alias("sim"))
-    own = verdicts.select(F.col("story").alias("twin"), "tag", F.col("applies").alias("twin_applies")).dropDuplicates(["twin", "tag"])
-    return suggestions.distinct().join(near, "story").join(own, ["twin", "tag"], "left").select("story", "tag", "twin", "sim", F.when(F.col("twin_applies"), "auto-confirm").when(~F.col("twin_applies"), "auto-reject").otherwise("open").alias("action"))
+    ``conflict`` where the twin has another decision, else ``auto-`` with the decision, also where it has none."""
+    own = verdicts.select(F.col("story").alias("twin"), "tag", F.col("decision").alias("existing")).dropDuplicates(["twin", "tag"])
+    action = F.when(F.col("existing") != F.col("decision"), "conflict").otherwise(F.concat(F.lit("auto-"), "decision"))
+    return suggestions.where("decision is not null").distinct().join(symmetric(twins), "story").join(own, ["twin", "tag"], "left").select("story", "tag", "twin", "sim", "decision", action.alias("action"))
 
 
 def closest_twin(twins: DataFrame) -> DataFrame:
@@ -89,11 +99,13 @@ def closest_twin(twins: DataFrame) -> DataFrame:
     return first_by_rank(both.where("story is not null and twin is not null and story <> twin"), ["story"], F.col("sim").desc_nulls_last(), F.col("twin"))
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8, group: str | None = None) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None, group: str | None = None, rows_a_block: int = 5_000) -> DataFrame:
     """``(a, b, sim)`` with a < b, ``sim`` at least ``threshold``; only across groups where one is given.
 
     Vectors are dealt to ``blocks`` blocks; each pair of blocks is one task that multiplies two matrices, so no block
-    meets more than ``blocks`` others and memory is that of two blocks. Choose ``blocks`` so that one fits a task."""
+    meets more than ``blocks`` others and memory is that of two blocks. Their number follows from ``rows_a_block``."""
+    if blocks is None:
+        blocks = max(1, -(-vectors.count() // rows_a_block))
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
     base = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), g.alias("g"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("blk")).where("v is not null")
     each = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))

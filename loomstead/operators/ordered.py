@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomstead.session import cut
 
-def numbering_flags(units: DataFrame, part: str, order: str, number: str) -> DataFrame:
-    """``gap`` where a number is more than one above the last, ``restart`` where it is below it, null else."""
+
+def numbering_flags(units: DataFrame, part: str, order: str, number: str, counts: Column | None = None) -> DataFrame:
+    """``restart`` where a number is below the last one, ``gap`` where it is neither that nor the next, an equal one too.
+
+    Only units for which ``counts`` holds are compared; one without a number starts the count anew and has no flag."""
+    kept = units if counts is None else units.where(counts)
     last = F.lag(number).over(Window.partitionBy(part).orderBy(order))
-    return units.withColumn("flag", F.when(F.col(number) < last, "restart").when(F.col(number) > last + 1, "gap"))
+    return kept.withColumn("flag", F.when(F.col(number) < last, "restart").when(F.col(number) != last + 1, "gap"))
 
 
 def segment(rows: DataFrame, part: str, order: str, opens: Column) -> DataFrame:
@@ -86,9 +91,27 @@ def correction_diff(before: DataFrame, after: DataFrame, keys: list[str], label:
     return b.join(a, keys, "full").withColumn("action", F.when(F.col("old_label").isNull(), "added").when(F.col("new_label").isNull(), "removed").when(F.col("old_label") != F.col("new_label"), "reclassified").otherwise("kept"))
 
 
+def numbered(rows: DataFrame, *order: Column | str, number: str = "n") -> DataFrame:
+    """``rows`` with ``number`` from 1 in order: sorted by range, only the row counts of the partitions reach the driver."""
+    kept = cut(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    at, starts = 0, []
+    for r in kept.groupBy(F.shiftright("_m", 33).alias("p")).agg(F.count("*").alias("c")).orderBy("p").collect():
+        starts.append((r["p"], at))
+        at += r["c"]
+    offsets = rows.sparkSession.createDataFrame(starts or [(-1, 0)], "_p bigint, _start bigint")
+    return kept.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(offsets), "_p").withColumn(number, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_start")
+
+
 def mint_ids(rows: DataFrame, order: str, used: DataFrame, used_id: str, prefix: str) -> DataFrame:
     """``new_id``: ids after the highest used number, in order."""
-    top = used.agg(F.coalesce(F.max(F.nullif(F.regexp_extract(used_id, rf"^{prefix}(\d+)$", 1), F.lit("")).cast("long")), F.lit(0)).alias("top"))
-    return rows.crossJoin(F.broadcast(top)).withColumn("new_id", F.concat(F.lit(prefix), (F.col("top") + F.row_number().over(Window.partitionBy().orderBy(order))).cast("string"))).drop("top")
+    top = used.agg(F.coalesce(F.max(F.nullif(F.regexp_extract(used_id, rf"^{prefix}(\d+)$", 1), F.lit("")).cast("long")), F.lit(0)).alias("top")).first()["top"]
+    return numbered(rows, order, number="_n").withColumn("new_id", F.concat(F.lit(prefix), (F.col("_n") + F.lit(top)).cast("string"))).drop("_n")
 
 
+def mint_free_ids(rows: DataFrame, order: str, used: DataFrame, used_id: str, prefix: str) -> DataFrame:
+    """``new_id``: the smallest free numbers, in order. Free ones are sought up to as many as rows and used ids together."""
+    n = rows.count()
+    taken = used.select(F.nullif(F.regexp_extract(used_id, rf"^{prefix}(\d+)$", 1), F.lit("")).cast("long").alias("_id")).where("_id is not null").distinct()
+    free = rows.sparkSession.range(1, n + taken.count() + 1).withColumnRenamed("id", "_id").join(taken, "_id", "left_anti")
+    given = numbered(free, "_id", number="_n").where(F.col("_n") <= n)
+    return numbered(rows, order, number="_n").join(given, "_n").withColumn("new_id", F.concat(F.lit(prefix), F.col("_id").cast("string"))).drop("_n", "_id")

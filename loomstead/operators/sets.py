@@ -37,6 +37,23 @@ def reconcile(direct: DataFrame, propagated: DataFrame, present: DataFrame, keys
     return d.unionByName(p)
 
 
+def removals(old: DataFrame, confirmed: DataFrame, rejected: DataFrame, asked: DataFrame, categories: list[str]) -> DataFrame:
+    """Old insertions ``(story_id, tag, source, source_story)`` of some categories to take out, with the reason.
+
+    A direct one goes where it was rejected or is no longer asked for, a propagated one where the story it came from was
+    rejected or is neither confirmed nor asked for. Confirmed pairs stay. The other tables hold ``(story_id, tag)``."""
+    def held(t: DataFrame, flag: str, story: str = "story_id") -> DataFrame:
+        return t.select(F.col("story_id").alias(story), "tag").distinct().withColumn(flag, F.lit(True))
+
+    j = old.where(F.split("tag", ":")[0].isin(categories)).join(confirmed.select("story_id", "tag"), ["story_id", "tag"], "left_anti")
+    j = j.join(held(rejected, "own_no"), ["story_id", "tag"], "left").join(held(asked, "own_asked"), ["story_id", "tag"], "left")
+    for t, flag in ((rejected, "src_no"), (confirmed, "src_yes"), (asked, "src_asked")):
+        j = j.join(held(t, flag, "source_story"), ["source_story", "tag"], "left")
+    direct = F.col("source") == "direct"
+    reason = F.when(direct & F.col("own_no"), "direct: rejected").when(direct & F.col("own_asked").isNull(), "direct: no longer a candidate").when(~direct & F.col("src_no"), "propagated: source rejected").when(~direct & F.col("src_yes").isNull() & F.col("src_asked").isNull(), "propagated: source no longer confirmed")
+    return j.select("story_id", "tag", "source", "source_story", reason.alias("reason")).where("reason is not null")
+
+
 def first_by_rank(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in the given full order."""
     w = Window.partitionBy(*keys).orderBy(*order)

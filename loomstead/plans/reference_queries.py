@@ -216,10 +216,10 @@ def a27_status_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- windows and order -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT user_id, event_id, n, CASE WHEN n < p THEN 'restart' WHEN n > p + 1 THEN 'gap' END AS flag FROM (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, event_id % 7 AS n FROM events))""")
+@query("""SELECT user_id, event_id, n, CASE WHEN n < p THEN 'restart' WHEN n <> p + 1 THEN 'gap' END AS flag FROM (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM (SELECT user_id, event_id, CASE WHEN event_id % 11 <> 0 THEN event_id % 3 END AS n FROM events WHERE event_type <> 'error'))""")
 def w01_numbering_flags(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 7).alias("n"))
-    return O.numbering_flags(e, "user_id", "event_id", "n")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 3).alias("n"))
+    return O.numbering_flags(e, "user_id", "event_id", "n", F.col("event_type") != "error").drop("event_type")
 
 
 @query("""SELECT user_id, event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unit FROM events""")
@@ -243,12 +243,6 @@ def w11_t02_stratified_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return O.round_robin(table(spark, d, "documents").where("source is not null").select("source", "doc_id"), "source", "doc_id", 50)
 
 
-@query()
-def w09_greedy_spans(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 3).alias("start"), (F.col("l_linenumber") * 3 + F.col("l_quantity").cast("int") % 7 + 1).alias("end"))
-    return O.greedy_spans(s, "l_orderkey", "start", "end")
-
-
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_returnflag AS old_label FROM lineitem WHERE l_quantity < 40), a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.05 THEN 'X' ELSE l_returnflag END AS new_label FROM lineitem WHERE l_quantity > 10) SELECT coalesce(b.l_orderkey, a.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, a.l_linenumber) AS l_linenumber, old_label, new_label, CASE WHEN old_label IS NULL THEN 'added' WHEN new_label IS NULL THEN 'removed' WHEN old_label <> new_label THEN 'reclassified' ELSE 'kept' END AS action FROM b FULL JOIN a ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
 def a30_n06_correction_diff(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
@@ -348,10 +342,13 @@ def j22_w05_closest_twin(spark: SparkSession, d: str) -> DataFrame:
     return L.closest_twin(_pairs(spark, d))
 
 
-@query(f"""WITH v AS (SELECT story_id AS story, tag, bool_or(applies) AS applies FROM (SELECT story_id, tag, {ANSWER.format('opus_applies')} AS applies FROM quality_results) WHERE applies IS NOT NULL GROUP BY 1, 2), t AS (SELECT story, twin, max(sim) AS sim FROM (SELECT a AS story, b AS twin, sim FROM {PAIRS} UNION ALL SELECT b, a, sim FROM {PAIRS}) GROUP BY 1, 2), s AS (SELECT DISTINCT story, tag FROM v WHERE applies) SELECT s.story, s.tag, t.twin, t.sim, CASE WHEN v.applies THEN 'auto-confirm' WHEN NOT v.applies THEN 'auto-reject' ELSE 'open' END AS action FROM s JOIN t USING (story) LEFT JOIN v ON v.story = t.twin AND v.tag = s.tag""")
-def j20_j21_propagate(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "quality_results").select(F.col("story_id").alias("story"), "tag", X.tri_state(F.col("opus_applies")).alias("applies")).where("applies is not null").groupBy("story", "tag").agg(F.bool_or("applies").alias("applies"))
-    return L.propagate(v.where("applies").select("story", "tag"), _pairs(spark, d), v)
+@query(f"""WITH g AS (SELECT story_id AS story, tag, CASE WHEN bool_or({ANSWER.format('sonnet_applies')}) THEN 'confirm' WHEN bool_or({ANSWER.format('sonnet_applies')}) IS NOT NULL THEN 'reject' END AS decision FROM quality_results GROUP BY 1, 2), v AS (SELECT story_id AS story, tag, CASE WHEN bool_or({ANSWER.format('opus_applies')}) THEN 'confirm' WHEN bool_or({ANSWER.format('opus_applies')}) IS NOT NULL THEN 'reject' END AS existing FROM quality_results GROUP BY 1, 2), t AS (SELECT story, twin, max(sim) AS sim FROM (SELECT a AS story, b AS twin, sim FROM {PAIRS} UNION ALL SELECT b, a, sim FROM {PAIRS} UNION ALL SELECT story_id, story_id, 1.0 FROM quality_results) GROUP BY 1, 2) SELECT g.story, g.tag, t.twin, t.sim, g.decision, CASE WHEN v.existing <> g.decision THEN 'conflict' ELSE 'auto-' || g.decision END AS action FROM g JOIN t USING (story) LEFT JOIN v ON v.story = t.twin AND v.tag = g.tag WHERE g.decision IS NOT NULL""")
+def j20_propagate(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "quality_results")
+    decision = lambda c: F.when(F.bool_or(X.tri_state(F.col(c))), "confirm").when(F.bool_or(X.tri_state(F.col(c))).isNotNull(), "reject").alias("decision")
+    own = q.select(F.col("story_id").alias("a"), F.col("story_id").alias("b"), F.lit(1.0).alias("sim"))  # a story's other judge stands in for a twin with a verdict
+    sides = q.select(F.col("story_id").alias("story"), "tag", "sonnet_applies", "opus_applies").groupBy("story", "tag")
+    return L.propagate(sides.agg(decision("sonnet_applies")), _pairs(spark, d).select("a", "b", "sim").union(own), sides.agg(decision("opus_applies")))
 
 
 @query("""WITH m AS (SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, d, avg(x) AS m FROM m GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM c GROUP BY 1) SELECT c.label, CAST(c.d AS INT) AS d, round(m / n, 6) AS x FROM c JOIN n USING (label)""")

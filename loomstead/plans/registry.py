@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstead.plans import packed_queries, reference_queries
+from loomstead.plans import packed_queries, reference_queries, survey_queries
 
-MODULES = [packed_queries, reference_queries]
+MODULES = [packed_queries, reference_queries, survey_queries]
 
 
 def queries() -> dict:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 XML_ID, XML_LANG = "{http://www.w3.org/XML/1998/namespace}id", "{http://www.w3.org/XML/1998/namespace}lang"
 #: Spellings of identifier types.
-ID_TYPES = {"wikidata": "Wikidata", "kima": "Kima", "tsadikim": "Tsadikim", "jewishgen": "JewishGen", "geonames": "GeoNames", "viaf": "VIAF"}
+ID_TYPES = {"wikidata": "Wikidata", "kima": "Kima", "tsadikim": "Tsadikim", "jewishgen": "JewishGen", "geonames": "GeoNames", "viaf": "VIAF", "dijestdb": "DiJeStDB", "disjestdb": "DiJeStDB"}
 STORIES = "edition string, ord int, story_id string, tokens array<string>, text string"
 MENTIONS = "edition string, mention_id string, ord int, story_id string, kind string, surface string, ref string, context string"
 AUTHORITY = "kind string, ord int, xml_id string, names array<string>, names_en array<string>, lat double, lon double, birth string, death string, ids map<string,string>"
