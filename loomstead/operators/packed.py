@@ -1,7 +1,8 @@
 """Several values packed in one field: minimum-description-length choice of a dialect per cell.
 
-A *dialect* is a set of one or two delimiters, read with or without quoting. Every cell is parsed under each
-dialect whose delimiters it holds; a parse costs
+A *dialect* is a set of delimiters, read with or without quoting. Every cell is parsed under each one and each two of the
+delimiters it holds, and under sets that grow from the two of the lowest constant cost by one delimiter at a time, until
+all are in; a parse costs
 
 * the code length of each of its shapes of values, ``-log2 p(shape)``, with ``p`` estimated over all cells of the
   field; a shape that the cell had before costs a constant,
@@ -42,8 +43,10 @@ DELIMITERS = {
     " ": r"[  ]+",
 }
 #: Bits of each value besides its shape, of a shape that its cell had before, of each run of possible delimiters left
-#: inside a value, of a quote without its fellow; the key that stands for null.
-VALUE_BITS, AGAIN_BITS, LEFT_BITS, TORN_BITS, NO_KEY = 2.0, 1.0, 3.0, 8.0, -(2**62)
+#: inside a value, of a quote without its fellow.
+VALUE_BITS, AGAIN_BITS, LEFT_BITS, TORN_BITS = 2.0, 1.0, 3.0, 8.0
+#: Rounds after which statistics that still change are left; each takes the costs down, so all are sound.
+ROUNDS = 8
 _PLAIN = re.compile(r"^[\"'“”„׳״`=\s﻿‎‏]+|[\"'“”„`\s﻿‎‏]+$")
 _QUOTED = re.compile(r'\s*"((?:[^"\\]|""|\\.)*)"')
 _ANY = re.compile(r"[;|,/&\s\"]+")
@@ -122,12 +125,22 @@ def parses(cell: str | None) -> list[dict]:
     whole = _QUOTED.fullmatch(body)
     add("one", [x for x in [_clean_escapes(whole.group(1)) if whole else _clean(body)] if x])
     there = [d for d, p in DELIMITERS.items() if re.search(p, body)]
-    for chosen in itertools.chain(((d,) for d in there), itertools.combinations(there, 2)):
+
+    def parse(chosen: tuple[str, ...]) -> float:
         pattern = re.compile("|".join(DELIMITERS[d] for d in chosen))
         name = "+".join(chosen)
         if '"' in body:
             add(name + ' "', _cut_quoted(body, pattern))
-        add(name, [x for x in (_clean(p) for p in pattern.split(body)) if x])
+        items = [x for x in (_clean(p) for p in pattern.split(body)) if x]
+        add(name, items)
+        return _fixed(items)
+
+    for d in there:
+        parse((d,))
+    pairs = {p: parse(p) for p in itertools.combinations(there, 2)}
+    grown = min(pairs, key=lambda p: (pairs[p], p)) if len(there) > 2 else tuple(there)
+    while len(grown) < len(there):
+        _, grown = min((parse(more), more) for d in there if d not in grown for more in [tuple(x for x in there if x in grown or x == d)])
     return found
 
 
@@ -139,44 +152,57 @@ def _parses(cells: pd.Series) -> pd.Series:
 def _cheapest(pool: DataFrame, counts: DataFrame, dialects: DataFrame | None) -> DataFrame:
     """Each cell's cheapest parse under the given shape counts; the totals and dialect shares are a few rows a field."""
     totals = counts.groupBy("field_name").agg(F.sum("n").alias("total"))
-    pieces = pool.select("*", F.explode_outer("shapes").alias("shape")).join(counts, ["field_name", "shape"], "left").join(F.broadcast(totals), "field_name")
-    value_bits = F.when(F.col("shape").isNotNull(), -F.log2((F.coalesce("n", F.lit(0.0)) + 0.1) / (F.col("total") + 1.0))).otherwise(0.0)
-    scored = pieces.groupBy("field_name", "row_key", "parse_no").agg(F.sum(value_bits).alias("shape_bits"), F.first("fixed").alias("fixed"), F.first("dialect").alias("dialect"), F.first("items").alias("items"), F.first("shapes").alias("shapes"))
+    wanted = pool.select("field_name", "cell_no", "parse_no", F.explode("shapes").alias("shape"))
+    pieces = wanted.join(counts, ["field_name", "shape"], "left").join(F.broadcast(totals), "field_name")
+    value_bits = -F.log2((F.coalesce("n", F.lit(0.0)) + 0.1) / (F.col("total") + 1.0))
+    bits = pieces.groupBy("field_name", "cell_no", "parse_no").agg(F.sum(value_bits).alias("shape_bits"))
+    scored = pool.select("field_name", "cell_no", "parse_no", "dialect", "fixed").join(bits, ["field_name", "cell_no", "parse_no"], "left")
     if dialects is None:
         dialect_bits = F.size(F.split("dialect", r"\+")) * 4.0
     else:
         scored = scored.join(F.broadcast(dialects), ["field_name", "dialect"], "left")
         dialect_bits = -F.log2(F.coalesce("share", F.lit(1e-5)))
-    best = F.min_by(F.struct("dialect", "items", "shapes"), F.struct(F.round(F.col("shape_bits") + F.col("fixed") + dialect_bits, 6), "parse_no"))
-    return scored.groupBy("field_name", "row_key").agg(best.alias("best")).select("field_name", "row_key", "best.*")
+    cost = F.coalesce("shape_bits", F.lit(0.0)) + F.col("fixed") + dialect_bits
+    best = scored.groupBy("field_name", "cell_no").agg(F.min_by("parse_no", F.struct(F.round(cost, 6), "parse_no")).alias("parse_no"))
+    return pool.join(best, ["field_name", "cell_no", "parse_no"])
 
 
-def unpack(cells: DataFrame, key: str, cell: str, field_name: Column | str, rounds: int = 3) -> DataFrame:
+def unpack(cells: DataFrame, key: str, cell: str, field_name: Column | str) -> DataFrame:
     """``(field_name, row_key, pos, item_value)``, one row per value of each cell.
 
-    ``field_name`` names the field a cell belongs to; shape statistics are kept per field. A null or blank cell, or
-    one of delimiters only, gives no row; a single value comes out at position 1. A row repeated under one key counts
-    once (of different cells under one key the largest by bytes stays); a null key is a key of its own. Positions count
-    non-empty values from 1. Cells of any length are parsed whole. Other columns of ``cells`` play no part."""
+    ``field_name`` names the field a cell belongs to; shape statistics are kept per field, and are taken again until the
+    dialects chosen stay as they are. A null or blank cell, or one of delimiters only, gives no row; a single value comes
+    out at position 1. A row repeated under one key counts once (of different cells under one key the largest by bytes
+    stays); a null key is a key of its own. Positions count non-empty values from 1. Cells of any length are parsed
+    whole, equal ones once. Other columns of ``cells`` play no part."""
+    spark = cells.sparkSession
     field = F.lit(field_name) if isinstance(field_name, str) else field_name
-    pool = cut(
+    keyed = cut(
         cells.select(field.alias("field_name"), F.col(key).cast("bigint").alias("row_key"), F.col(cell).cast("string").alias("cell"))
         .groupBy("field_name", "row_key")
         .agg(F.max("cell").alias("cell"))
         .where(F.length(F.trim("cell")) > 0)
-        .select("field_name", F.coalesce("row_key", F.lit(NO_KEY)).alias("row_key"), _parses("cell").alias("parses"))
-        .select("field_name", "row_key", F.posexplode("parses").alias("parse_no", "parse"))
-        .select("field_name", "row_key", "parse_no", "parse.*")
+        .withColumn("digest", F.md5("cell"))
     )
-    counts = pool.select("field_name", F.explode("shapes").alias("shape")).groupBy("field_name", "shape").agg(F.count("*").cast("double").alias("n"))
-    chosen = _cheapest(pool, counts, None)
-    for _ in range(rounds - 1):
-        chosen = cut(chosen)
-        counts = chosen.select("field_name", F.explode("shapes").alias("shape")).groupBy("field_name", "shape").agg(F.count("*").cast("double").alias("n"))
-        used = chosen.groupBy("field_name", "dialect").agg(F.count("*").alias("c"))
+    once = keyed.groupBy("field_name", "digest").agg(F.count("*").alias("uses"), F.first("cell").alias("cell"))
+    # a set number of partitions is not folded into few, so that parsing has all cores
+    spread = once.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest")
+    pool = cut(spread.select("field_name", F.col("digest").alias("cell_no"), "uses", _parses("cell").alias("parses")).select("field_name", "cell_no", "uses", F.posexplode("parses").alias("parse_no", "parse")).select("field_name", "cell_no", "uses", "parse_no", "parse.*"))
+
+    def shapes(parsed: DataFrame) -> DataFrame:
+        return parsed.select("field_name", "uses", F.explode("shapes").alias("shape")).groupBy("field_name", "shape").agg(F.sum("uses").cast("double").alias("n"))
+
+    chosen, before = cut(_cheapest(pool, shapes(pool), None)), None
+    while True:
+        used = chosen.groupBy("field_name", "dialect").agg(F.sum("uses").alias("c"))
+        state = chosen.agg(F.count("*"), F.sum(F.xxhash64("cell_no", "parse_no").cast("decimal(38,0)"))).first()
+        if before is not None and state in before or len(before or ()) == ROUNDS:
+            break
+        before = [*(before or []), state]
         dialects = used.join(F.broadcast(used.groupBy("field_name").agg(F.sum("c").alias("t"))), "field_name").select("field_name", "dialect", (F.col("c") / F.col("t")).alias("share"))
-        chosen = _cheapest(pool, counts, dialects)
-    return chosen.select("field_name", F.when(F.col("row_key") > NO_KEY, F.col("row_key")).alias("row_key"), F.posexplode("items").alias("pos", "item_value")).withColumn("pos", (F.col("pos") + 1).cast("int"))
+        chosen = cut(_cheapest(pool, shapes(chosen), dialects))
+    values = chosen.select("field_name", F.col("cell_no").alias("digest"), "items").join(keyed.drop("cell"), ["field_name", "digest"])
+    return values.select("field_name", "row_key", F.posexplode("items").alias("pos", "item_value")).withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
 def whole_number(value: Column) -> Column:

@@ -41,7 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 #: Written tables between two collections of the driver's garbage.
-GC_EVERY = 1
+GC_EVERY = 6
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cuts = itertools.count(1)
 
 
@@ -53,10 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     the next plan: in a loop they grow until planning takes minutes."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # the shuffles behind the table go when it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     if next(_cuts) % GC_EVERY == 0:
-        # shuffles and broadcasts of finished steps are freed when the driver collects its garbage, which an idle heap
-        # puts off; in a loop their files would pile up
+        # broadcasts and plans of finished steps are freed when the driver collects its garbage, which an idle heap puts off
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -101,3 +101,14 @@ def test_flags_of_marked_names(spark):
     rows = [("אב", "placeName", ["short_fragment"]), ("--", "x", ["punct_only"]), ("Hatov_0001", "x", ["xmlid_leak"]), ("משהלידרביאברהם", "persName", ["fused_entity"]), ("רבימשהאברהם", "persName", []), ("", "x", [])]
     df = spark.createDataFrame(rows, "t string, k string, want array<string>")
     assert all(r.got == r.want for r in df.select("want", X.entity_flags(F.col("t"), F.col("k")).alias("got")).collect())
+
+
+def test_cells_with_many_delimiters_and_equal_cells(spark):
+    from loomstead.operators.packed import parses, unpack
+
+    assert ["11", "12", "13", "14"] in [p["items"] for p in parses("11; 12 | 13,14")] and ["1", "2", "3", "4", "5"] in [p["items"] for p in parses("1;2|3,4/5")]
+    rows = [(i, f"{i + 100}; {i + 200}") for i in range(40)] + [(501, "7; 8"), (502, "7; 8"), (502, "7; 8"), (503, None), (None, "7; 8")]
+    got = {}
+    for r in unpack(spark.createDataFrame(rows, "k bigint, c string").withColumn("digest", F.lit(1)), "k", "c", "f").collect():
+        got.setdefault(r.row_key, {})[r.pos] = r.item_value
+    assert got[501] == got[502] == got[None] == {1: "7", 2: "8"} and len(got) == 43
