@@ -151,6 +151,28 @@ def test_all_pairs_the_rules_reach(spark):
     assert [r.xml_id for r in P.match_places(rows, "csv_row", place, "xml_id").collect()] == ["a"]
 
 
+def test_unknown_coordinates_are_not_near(spark):
+    """A row at 0/0 or a rough one is at no distance of a place without coordinates, nor of any at all at 0/0."""
+    places = spark.createDataFrame([("a", ["Keltsushapolye"], 49.08, 22.3, {}), ("b", ["Barlukhune"], None, None, {})], "xml_id string, " + PLACE)
+    rows = [(1, ["Keltsuzhabnle"], 0.0, 0.0, {}), (2, ["Keltsushapolye"], 0.0, 0.0, {}), (3, ["Barlukhznn"], 50.5, 27.1, {}), (4, ["Barlukhune"], 50.5, 27.1, {})]
+    found = P.match_places(spark.createDataFrame(rows, "csv_row bigint, " + PLACE), "csv_row", places, "xml_id").collect()
+    assert {(int(r.csv_row), r.xml_id, r.km) for r in found} == {(2, "a", None), (4, "b", None)}
+
+
+def test_likeness_of_a_pair_is_that_of_its_likest_names(spark):
+    """Over several names, senses and both ways of finding a pair."""
+    rng = random.Random(6)
+    sounds = ["debtsaSitSin", "deXtsaSitSin", "debtXaSitXin", "kaltin", "kXltin"]
+    parsed = "k string, parsed array<struct<sound string, sense string, district string>>, lat double, lon double, coarse boolean, d string"
+    row = lambda kind, i: (f"{kind}{i}", [(rng.choice(sounds), rng.choice(["", "old"]), None) for _ in range(3)], *rng.choice([(50.0, 20.0), (50.1, 20.1), (None, None)]), i % 4 == 0, None)
+    listed, places = [row("l", i) for i in range(25)], [row("p", i) for i in range(25)]
+    names = {k: [dict(zip(("sound", "sense"), n)) for n in parts] for k, parts, *_ in listed + places}
+    got = P.candidates(spark.createDataFrame(listed, parsed), spark.createDataFrame(places, parsed)).collect()
+    assert len(got) > 200 and all(abs(r.likeness - P.name_likeness(names[r.l], names[r.p])) < 1e-12 for r in got)
+    unknown = {k for k, _, lat, *_ in listed + places if lat is None}
+    assert all((r.km is None) == bool({r.l, r.p} & unknown) for r in got)
+
+
 # --- p3 ----------------------------------------------------------------------------------------------------------
 
 
