@@ -32,7 +32,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def name_similarity(a: Column, b: Column) -> Column:
     """0 for an empty side, 1 for equal names, else trigram Jaccard; token Jaccard where a side has no trigram."""
-    na, nb = normalize_name(a), normalize_name(b)
+    return normalized_similarity(normalize_name(a), normalize_name(b))
+
+
+def normalized_similarity(na: Column, nb: Column) -> Column:
+    """``name_similarity`` of names that are normalized already."""
     ta, tb = trigrams(na), trigrams(nb)
     words = jaccard(F.array_distinct(F.split(na, " ")), F.array_distinct(F.split(nb, " ")))
     blank = F.coalesce(F.length(na), F.lit(0)) * F.coalesce(F.length(nb), F.lit(0)) == 0

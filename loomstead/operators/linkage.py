@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.functions.numeric import haversine_km
-from loomstead.functions.text import gazetteer_number, item_number, name_similarity, normalize_name, trigrams
+from loomstead.functions.text import gazetteer_number, item_number, name_similarity, normalize_name, normalized_similarity, trigrams
 from loomstead.operators.sets import first_by_rank
+from loomstead.session import cut
 
 HIGH, LOW = 0.80, 0.55
+#: Lowest similarity within ``CLOSE_KM``; sides in km of the cells that such pairs are looked up by.
+CLOSE, CLOSE_KM, CELL_KM = 0.35, 5.0, 20.0
 
 
 def identifiers(rows: DataFrame, key: str, wikidata: str, gazetteer: str, url: str) -> DataFrame:
@@ -50,22 +53,70 @@ def name_match(left: DataFrame, right: DataFrame, low: float = LOW, high: float
     return left.select(F.col("key").alias("l")).distinct().join(best, "l", "left").select("l", "r", F.round("score", 6).alias("score"), F.when(F.col("score") >= high, "MATCHED").when(F.col("score").isNotNull(), "CONFLICT").otherwise("NEW").alias("status"))
 
 
-def geo_band_score(sim, km):
-    """Name similarity raised or lowered by distance; null where the band asks for a likelier name."""
-    banded = F.when(km.isNull(), F.when(sim >= 0.55, sim)).when(km <= 5, F.when(sim >= 0.35, sim + 0.30)).when(km <= 30, F.when(sim >= 0.55, sim + 0.15)).when(km <= 100, sim).otherwise(sim - 0.15)
+def _prefixes(names: DataFrame, counts: DataFrame, low: float) -> DataFrame:
+    """``(n, m, g, i)``: of each name's ``m`` trigrams the rarest, ``i``-th ones, one of which any name ``low`` alike has too."""
+    each = names.select("n", "m", F.explode("grams").alias("g")).join(counts, "g")
+    ranked = each.withColumn("i", F.row_number().over(Window.partitionBy("n").orderBy("c", "g")))
+    return ranked.where(F.col("i") <= F.col("m") - F.ceil(F.col("m") * low - 1e-9) + 1).select("n", "m", "g", "i")
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], low: float) -> DataFrame:
+    """``(x, y)`` of prefixes with a key in common that may be ``low`` alike: no more grams are shared than follow the first one."""
+    pairs = a.withColumnsRenamed({"n": "x", "m": "mx", "i": "ix"}).join(b.withColumnsRenamed({"n": "y", "m": "my", "i": "iy"}), on)
+    shared = F.least(F.col("mx") - F.col("ix"), F.col("my") - F.col("iy")) + 1
+    return pairs.where(shared >= (F.col("mx") + F.col("my")) * (low / (1 + low)) - 1e-9).select("x", "y").distinct()
+
+
+def _short(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``(x, y)`` of names that share a word where one has no trigram."""
+    words = lambda t, n: t.select(F.col("n").alias(n), F.col("m").alias(f"m{n}"), F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    x, y = words(a, "x"), words(b, "y")
+    return x.where("mx = 0").join(y, "w").select("x", "y").unionByName(x.join(y.where("my = 0"), "w").select("x", "y")).distinct()
+
+
+def _cells(places: DataFrame, reach: float) -> DataFrame:
+    """Places in the cells of space that lie within ``reach`` km; the straight way is never the longer one, at any latitude."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    out = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    for c, v in axes.items():
+        out = out.withColumn(c, F.explode(F.sequence(F.floor((6371.0 * v - reach) / CELL_KM), F.floor((6371.0 * v + reach) / CELL_KM))))
+    return out
+
+
+def geo_band_score(sim: Column, km: Column) -> Column:
+    """Name similarity raised or lowered by distance; null where the band asks for a likelier name, as all but the nearest do."""
+    banded = F.when(km <= CLOSE_KM, F.when(sim >= CLOSE, sim + 0.30)).when(sim < LOW, F.lit(None)).when(km <= 30, sim + 0.15).when(km.isNull() | (km <= 100), sim).otherwise(sim - 0.15)
     return F.when(banded.isNotNull(), F.greatest(F.least(banded, F.lit(1.0)), F.lit(0.0)))
 
 
 def name_geo_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """Best right record per left ``(key, name, lat, lon)`` by banded score, NEW where no band takes one.
 
-    A name without a shared gram has similarity 0, which no distance band rescues: cells would add no match."""
-    l, r = left.select(*[F.col(c).alias(f"l_{c}") for c in ("key", "name", "lat", "lon")]), right.select(*[F.col(c).alias(f"r_{c}") for c in ("key", "name", "lat", "lon")])
-    pairs = name_candidates(left.select("key", "name"), right.select("key", "name")).join(l, F.col("l") == F.col("l_key")).join(r, F.col("r") == F.col("r_key"))
-    km = haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
-    scored = pairs.select("l", "r", km.alias("km"), geo_band_score(name_similarity(F.col("l_name"), F.col("r_name")), km).alias("score")).where("score is not null")
-    best = first_by_rank(scored, ["l"], F.col("score").desc(), F.col("r"))
-    every = left.select(F.col("key").alias("l")).distinct().join(best, "l", "left")
+    Each two names are compared once: those that may be ``LOW`` alike wherever they stand, those that may be ``CLOSE`` alike
+    where they stand within ``CLOSE_KM``. Of equal names at one spot the smallest right key stands for all."""
+    typed = left.select("key", normalize_name(F.col("name")).alias("n"), "lat", "lon").where("n <> ''")
+    spots = cut(typed.select("n", "lat", "lon").distinct())
+    held = cut(right.select("key", normalize_name(F.col("name")).alias("n"), "lat", "lon").where("n <> ''").groupBy("n", "lat", "lon").agg(F.min("key").alias("r")))
+    a, b = (cut(t.select("n").distinct().select("n", trigrams(F.col("n")).alias("grams")).withColumn("m", F.size("grams"))) for t in (spots, held))
+    counts = cut(a.unionByName(b).select("n", "grams").distinct().select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("c")))
+    sim = normalized_similarity(F.col("x"), F.col("y"))
+    km = haversine_km(F.col("la"), F.col("lo"), F.col("pa"), F.col("po"))
+    here, there = spots.withColumnsRenamed({"n": "x", "lat": "la", "lon": "lo"}), held.withColumnsRenamed({"n": "y", "lat": "pa", "lon": "po"})
+    alike = _met(_prefixes(a, counts, LOW), _prefixes(b, counts, LOW), ["g"], LOW).unionByName(_short(a, b))
+    alike = cut(alike.withColumn("sim", sim).where(F.col("sim") >= LOW))
+    anywhere = alike.join(here, "x").join(there, "y").select("x", "la", "lo", "r", km.alias("km"), "sim")
+    cell = ["cx", "cy", "cz"]
+    near_a, near_b = _cells(spots, 0.0), _cells(held, CLOSE_KM + 0.01)
+    keyed_a, keyed_b = near_a.join(_prefixes(a, counts, CLOSE), "n").select("n", "m", "g", "i", *cell).distinct(), near_b.join(_prefixes(b, counts, CLOSE), "n").select("n", "m", "g", "i", *cell).distinct()
+    close = _met(keyed_a, keyed_b, [*cell, "g"], CLOSE).unionByName(_short(a, b))
+    close = cut(close.withColumn("sim", sim).where((F.col("sim") >= CLOSE) & (F.col("sim") < LOW)))
+    x, y = near_a.withColumnsRenamed({"n": "x", "lat": "la", "lon": "lo"}), near_b.withColumnsRenamed({"n": "y", "lat": "pa", "lon": "po"})
+    beside = close.join(x, "x").join(y, ["y", *cell]).select("x", "la", "lo", "r", km.alias("km"), "sim").where(F.col("km") <= CLOSE_KM)
+    scored = anywhere.unionByName(beside).withColumn("score", geo_band_score(F.col("sim"), F.col("km"))).where("score is not null")
+    best = scored.groupBy("x", "la", "lo").agg(F.min(F.struct((-F.col("score")).alias("o"), "r", "km", "score")).alias("b"))
+    found = typed.join(best, (F.col("n") == F.col("x")) & F.col("lat").eqNullSafe(F.col("la")) & F.col("lon").eqNullSafe(F.col("lo"))).groupBy("key").agg(F.min("b").alias("b")).select(F.col("key").alias("l"), "b.r", "b.score", "b.km")
+    every = left.select(F.col("key").alias("l")).distinct().join(found, "l", "left")
     return every.select("l", "r", F.round("score", 6).alias("score"), F.round("km", 6).alias("km"), F.when(F.col("score") >= HIGH, "MATCHED").when(F.col("score").isNotNull(), "CONFLICT").otherwise("NEW").alias("status"))
 
 

@@ -222,3 +222,38 @@ def test_name_geo_match_reports_new(spark):
     got = {r.l: (r.r, r.status) for r in linkage.name_geo_match(left, right).collect()}
     assert got == {"a": ("x", "MATCHED"), "b": (None, "NEW"), "c": (None, "NEW"), "d": ("x", "MATCHED")}
     assert {r.status for r in linkage.name_geo_match(left, right.limit(0)).collect()} == {"NEW"}
+
+
+def test_name_geo_match_against_all_pairs(spark):
+    """Names of few letters, short ones, all bands, spots on both sides of the date line and at a pole, ties, repeats."""
+    import random
+
+    rng = random.Random(5)
+    stock = ["".join(rng.choice("abc") for _ in range(rng.choice([1, 2, 5, 7]))) for _ in range(10)] + ["ab cd", "cd ab c", "", " ", None]
+    stock += [s[:i] + rng.choice("abc") + s[i + 1 :] for s in ["abcdefghijk", "mnopqrstu", "vwxyzabc"] for i in range(len(s))]
+    bases = [(50.0, 20.0), (0.0, 179.99), (0.0, -179.99), (89.99, 10.0), (89.99, -170.0), (None, 20.0), (None, None)]
+
+    def spot():
+        y, x = rng.choice(bases)
+        step = rng.choice([0.0, 0.03, 0.06, 0.4, 3.0])
+        return (y and y - step, x)
+
+    place = "key int, name string, lat double, lon double"
+    left, right = (spark.createDataFrame([(rng.randrange(n), rng.choice(stock[side::2]), *spot()) for _ in range(n)], place).distinct() for side, n in ((0, 70), (1, 90)))
+    left = left.dropDuplicates(["key"]).localCheckpoint()
+    right = right.localCheckpoint()
+    km = linkage.haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    every = left.crossJoin(right.select(F.col("key").alias("r"), F.col("name").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x")))
+    rated = every.select(F.col("key").alias("l"), "r", linkage.geo_band_score(X.name_similarity(F.col("name"), F.col("b")), km).alias("score")).where("score is not null")
+    want = {}
+    for r in rated.collect():
+        want[r.l] = min(want.get(r.l, (9, 0)), (-round(r.score, 6), r.r))
+    got = {r.l: r for r in linkage.name_geo_match(left, right).collect()}
+    assert {k: (-r.score, r.r) for k, r in got.items() if r.r is not None} == want and len(want) > 10
+    assert len(got) == left.count() and {r.status for r in got.values()} >= {"CONFLICT", "NEW"}
+
+
+def test_bands_beyond_the_nearest_ask_for_a_likely_name(spark):
+    bands = [(0.4, 4.0), (0.3, 4.0), (0.4, 20.0), (0.4, 60.0), (0.4, 300.0), (0.4, None), (0.6, 20.0), (0.6, 60.0), (0.6, 300.0), (0.6, None)]
+    got = spark.createDataFrame(bands, "sim double, km double").select(linkage.geo_band_score(F.col("sim"), F.col("km")).alias("s")).collect()
+    assert [r.s and round(r.s, 6) for r in got] == [0.7, None, None, None, None, None, 0.75, 0.6, 0.45, 0.6]
