@@ -87,6 +87,25 @@ def test_same_person(spark):
     assert N.same_person(mentions.limit(0), "review_id", "name", records, "rec_id", ["names_he"]).count() == 0
 
 
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """Sizes are guessed, arrays as one element, so every join of names and records is told to shuffle."""
+    plans, real = [], N.cut
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(N, "cut", spy)
+    monkeypatch.setattr(N, "learn", lambda names, records: N.listed())
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000
+    records = spark.createDataFrame([(1, ["משה סופר אב\"ד טבערשטאל"]), (2, ["סופר, משה"]), (3, ["זאב געסאבמיהאלץ"])], "rec_id bigint, names_he array<string>")
+    mentions = spark.createDataFrame([(7, "משה סופר"), (8, "זאב געסאבמיהאלץ")], "review_id bigint, name string")
+    found = N.same_person(mentions, "review_id", "name", records, "rec_id", ["names_he"])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {(r.review_id, r.rec_id) for r in found.collect()} == {(7, 1), (7, 2), (8, 3)}
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
 # --- p2 ----------------------------------------------------------------------------------------------------------
 
 PLACE = "names array<string>, lat double, lon double, extra map<string,string>"
